@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, sharding
+from trisettle.llm import bytebpe, eliasfano, sharding
 from trisettle.llm.common import table
 
 
@@ -17,7 +17,12 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(bytebpe.decode(encoded))
 
 
+def op4_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eliasfano.boundaries(eliasfano.write(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op4_elias_fano_ids": op4_elias_fano_ids,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
 }
