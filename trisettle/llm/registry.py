@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, eliasfano, sharding
+from trisettle.llm import bytebpe, eliasfano, quality, sharding
 from trisettle.llm.common import table
 
 
@@ -21,7 +21,13 @@ def op4_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eliasfano.boundaries(eliasfano.write(table(spark, sf_dir, "documents")))
 
 
+def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
+    "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op4_elias_fano_ids": op4_elias_fano_ids,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
