@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, eliasfano, quality, sharding
+from trisettle.llm import bytebpe, eliasfano, quality, secrets, sharding
 from trisettle.llm.common import table
 
 
@@ -26,7 +26,12 @@ def op6_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.summary(secrets.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op8_randomness_battery": op8_randomness_battery,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op4_elias_fano_ids": op4_elias_fano_ids,
     "op7_byte_bpe": op7_byte_bpe,
