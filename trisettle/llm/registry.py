@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, eliasfano, quality, secrets, sharding
+from trisettle.llm import bytebpe, eliasfano, pii, quality, secrets, sharding
 from trisettle.llm.common import table
 
 
@@ -30,7 +30,12 @@ def op8_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.find(table(spark, sf_dir, "documents")))
 
 
+def op5_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
+    "op5_boosted_candidates": op5_boosted_candidates,
     "op8_randomness_battery": op8_randomness_battery,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
     "op4_elias_fano_ids": op4_elias_fano_ids,
