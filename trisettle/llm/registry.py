@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, eliasfano, pii, quality, secrets, sharding
+from trisettle.llm import bytebpe, eliasfano, language, pii, quality, secrets, sharding
 from trisettle.llm.common import table
 
 
@@ -34,7 +34,14 @@ def op5_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summary(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", language.held_out().alias("held_out"), "text")
+    return language.predict(rows, language.fold_model(docs), "doc_id", "held_out")
+
+
 QUERIES = {
+    "op3_language_mixture": op3_language_mixture,
     "op5_boosted_candidates": op5_boosted_candidates,
     "op8_randomness_battery": op8_randomness_battery,
     "op6_risk_controlled_rules": op6_risk_controlled_rules,
