@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, eliasfano, language, pii, quality, secrets, sharding
+from trisettle.llm import bytebpe, decontaminate, eliasfano, language, pii, quality, secrets, sharding
 from trisettle.llm.common import table
 
 
@@ -40,7 +40,12 @@ def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(rows, language.fold_model(docs), "doc_id", "held_out")
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op3_language_mixture": op3_language_mixture,
     "op5_boosted_candidates": op5_boosted_candidates,
     "op8_randomness_battery": op8_randomness_battery,
