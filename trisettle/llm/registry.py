@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trisettle.llm import bytebpe, decontaminate, eliasfano, language, pii, quality, secrets, sharding
+from trisettle.llm import bytebpe, decontaminate, eliasfano, jaccard, language, pii, quality, secrets, sharding
 from trisettle.llm.common import table
 
 
@@ -44,7 +44,12 @@ def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_token_combination_join": op2_token_combination_join,
     "op1_template_decontamination": op1_template_decontamination,
     "op3_language_mixture": op3_language_mixture,
     "op5_boosted_candidates": op5_boosted_candidates,
