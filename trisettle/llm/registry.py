@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trisettle.llm import bytebpe, decontaminate, eliasfano, jaccard, language, pii, quality, secrets, sharding
+from trisettle.llm import bytebpe, decontaminate, eliasfano, jaccard, language, pii, quality, secrets, sharding, suffixes
 from trisettle.llm.common import table
 
 
@@ -48,7 +49,13 @@ def op2_token_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op2_token_combination_join": op2_token_combination_join,
     "op1_template_decontamination": op1_template_decontamination,
     "op3_language_mixture": op3_language_mixture,
