@@ -3,7 +3,7 @@
 File format (Parquet, in the shared folder): one row per block of consecutive documents in ascending doc_id order.
 
     bucket, block   position: blocks sorted by (bucket, block) concatenate to the whole corpus
-    first_id count  not stored: a block's start is the running sum of n_ids over the blocks before it
+    ahead           ids of the bucket's blocks before this one; starts of buckets are a running sum over them
     doc_ids         int64 little-endian, delta to the one before (the first one whole)
     n_docs, n_ids   documents and ids of the block
     width           bytes of an id: 2 if the vocabulary has at most 65,536 ids, else 4
@@ -19,6 +19,7 @@ longer document has a block of its own, and its ends need l bits like any other)
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -30,17 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trisettle.llm.bytebpe import byte_characters
 from trisettle.llm.common import shuffle_partitions, written
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
 #: Encoded words that a Python worker remembers before it starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
+#: Most buckets of a corpus; the table of their starts, 16 bytes each, is the one thing that is broadcast.
+MOST_BUCKETS = 100_000
 
-#: Between a letter and the one full stop or comma that ends its word.
-WORD_END = re.compile("(?<=[a-z])(?=[.,] )")
+#: Latin-1 bytes with letters lowered and newlines as spaces.
+LOWER = bytes(0x20 if b == 0x0A else b + 32 if 0x41 <= b <= 0x5A or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
+#: Words of small letters as they are, and the place between a letter and the one full stop or comma that ends its word.
+LATIN = re.compile("[a-zß-öø-ÿ]+")
+WORD_END = re.compile("(?<=[a-zß-öø-ÿ])(?=[.,] )")
 
-BLOCKS = "bucket int, block int, doc_ids binary, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary"
+BLOCKS = "bucket int, block int, ahead long, doc_ids binary, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary"
 
 
 def pack(values: np.ndarray, bits: int) -> bytes:
@@ -105,25 +112,44 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = {2: "H", 4: "I"}[width]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # the same model without normaliser and splitting, for words of small Latin letters that need neither
+        self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self.chars = {b: c for b, c in enumerate(byte_characters()) if b != 0x20}
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
+        self.width, self.kind = width, {2: "H", 4: "I"}[width]
         self.known: dict[str, bytes] = {}
 
+    def _learn(self, new: list[str]) -> None:
+        plain = [x for x in new if LATIN.fullmatch(x)]
+        if plain:
+            text = " ".join(plain).encode().decode("latin-1").translate(self.chars)
+            ids = np.array(self.plain.encode(text, add_special_tokens=False).ids, f"<u{self.width}")
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(ends) == len(plain):  # each word ends with a token of its own
+                raw = ids.tobytes()
+                self.known.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))
+                new = [x for x in new if x not in self.known]
+        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self.known[word] = array(self.kind, found.ids).tobytes()
+
     def encode(self, text: str) -> bytes:
         """Packed ids of a whole text. Cutting at spaces and newlines, and between a letter and a full stop or comma
         at a word's end, changes nothing: the tokenizer drops white space and merges within runs of letters or of
-        marks only. Nor does lowering A-Z, which it does itself."""
-        plain = text.encode().lower().decode().replace("\n", " ") + " "
-        words = WORD_END.sub(" ", plain).split(" ")
-        known = self.known
+        marks only. Nor does lowering Latin-1 letters, which it does itself."""
         try:
-            return b"".join([known[x] for x in words])
-        except KeyError:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-        new = [*{x for x in words if x not in known}]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[word] = array(self.kind, found.ids).tobytes()
-        return b"".join([known[x] for x in words])
+            plain = text.encode("latin-1").translate(LOWER).decode("latin-1") + " "
+        except UnicodeEncodeError:
+            plain = text.encode().lower().decode().replace("\n", " ") + " "
+        words = WORD_END.sub(" ", plain).split(" ")
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        if new := set(words).difference(self.known):
+            self._learn(list(new))
+        return b"".join(map(self.known.__getitem__, words))
 
 
 @lru_cache(maxsize=2)
@@ -156,29 +182,29 @@ def tokenize(df: DataFrame, path: str, key: str, text: str, end_id: int, width:
 def in_blocks(width: int):
     """Consecutive rows of a sorted partition to blocks; a partition is streamed, never held."""
 
-    def close(bucket: int, block: int, docs: list[int], parts: list[bytes]) -> tuple:
+    def close(bucket: int, block: int, ahead: int, docs: list[int], parts: list[bytes]) -> tuple:
         ends = np.cumsum([len(x) // width for x in parts])
         code = EliasFano.encode(ends, int(ends[-1]))
         deltas = np.diff(np.array(docs, np.int64), prepend=np.int64(0)).astype("<i8").tobytes()
-        return bucket, block, deltas, len(docs), int(ends[-1]), width, b"".join(parts), code.low_bits, code.low, code.high, code.samples
+        return bucket, block, ahead, deltas, len(docs), int(ends[-1]), width, b"".join(parts), code.low_bits, code.low, code.high, code.samples
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.binary()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()),
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ahead", pa.int64()), ("doc_ids", pa.binary()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()),
                             ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
         as_batch = lambda row: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
-        at, block, size, docs, parts = None, 0, 0, [], []
+        at, block, ahead, size, docs, parts = None, 0, 0, 0, [], []
         for batch in source:
             for bucket, doc, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if docs and (bucket != at or size + len(ids) // width > BLOCK_IDS):
-                    yield as_batch(close(at, block, docs, parts))
-                    block, size, docs, parts = block + 1, 0, [], []
+                    yield as_batch(close(at, block, ahead, docs, parts))
+                    block, ahead, size, docs, parts = block + 1, ahead + size, 0, [], []
                 if bucket != at:
-                    at, block = bucket, 0
+                    at, block, ahead = bucket, 0, 0
                 docs.append(doc)
                 parts.append(ids)
                 size += len(ids) // width
         if docs:
-            yield as_batch(close(at, block, docs, parts))
+            yield as_batch(close(at, block, ahead, docs, parts))
 
     return batches
 
@@ -198,7 +224,7 @@ def write(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
     width = 2 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     spark = df.sparkSession
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    wanted = max(1, -(-df.select(key).count() // rows_per_bucket))
+    wanted = min(MOST_BUCKETS, max(1, -(-df.select(key).count() // rows_per_bucket)))
     shares = [i / wanted for i in range(1, wanted)] or [0.5]
     cuts = sorted(set(df.select(F.percentile_approx(doc, shares, 100 * wanted)).first()[0] or []))
     tokens = tokenize(df.select(doc.alias(key), text), path, key, text, end_id, width)
@@ -214,10 +240,6 @@ def boundaries(blocks: DataFrame) -> DataFrame:
     sizes = blocks.groupBy("bucket").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (blocks.select("bucket", "block", F.coalesce(F.sum("n_ids").over(within), F.lit(0)).alias("ahead"))
-              .join(offsets, "bucket").select("bucket", "block", (F.col("offset") + F.col("ahead")).alias("start")))
-
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
@@ -227,6 +249,6 @@ def boundaries(blocks: DataFrame) -> DataFrame:
                 ids = np.frombuffer(row["ids"], kind).astype("<u4")
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(first, ends, strict=True)]
                 docs = np.cumsum(np.frombuffer(row["doc_ids"], "<i8"))
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first + row["start"]), pa.array(ends - first), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first + row["offset"] + row["ahead"]), pa.array(ends - first), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.join(starts, ["bucket", "block"]).mapInArrow(batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.join(F.broadcast(offsets), "bucket").mapInArrow(batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
