@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded pieces that a Python worker remembers before it starts anew.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 450_000
 #: A space beside other white space: there a text cannot be cut before each space.
 UNCUTTABLE = regex.compile(r"\s | \s")
 
