@@ -1,4 +1,11 @@
 """All reconciliation queries by name, and the SQL that states the same results."""
 
+from __future__ import annotations
+
+from trisettle.plans import matching, queue, text, views
+
 QUERIES = {}
 ORACLE_SQL = {}
+for module in (matching, queue, text, views):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
