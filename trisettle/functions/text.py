@@ -73,7 +73,11 @@ def document_reference(narration: Column) -> Column:
 def cited_ids(narration: Column) -> Column:
     """Ids that a narration cites, by kind, in order and once each."""
     found = F.array_distinct(F.regexp_extract_all(F.coalesce(narration, F.lit("")), F.lit(f"({ID})"), F.lit(1)))
-    return F.struct(*[F.filter(found, lambda x, k=kind: x.startswith(f"{k}_")).alias(name) for kind, name in ID_KINDS.items()])
+
+    def of_kind(kind: str) -> Column:
+        return F.filter(found, lambda x: x.startswith(f"{kind}_"))
+
+    return F.struct(*[of_kind(kind).alias(name) for kind, name in ID_KINDS.items()])
 
 
 def identity_claim(ids: Column) -> Column:
