@@ -82,6 +82,12 @@ def transitions(rows: DataFrame, today: str, matched: DataFrame, cfg: Config = D
                        F.when(waiting & (count < cfg.max_rechecks), F.date_add("recheck_on", cfg.recheck_interval_days)).otherwise(F.col("recheck_on")).alias("recheck_on"))
 
 
+def linked(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What is left of each gap after a linked amount, and whether that is enough for an exception of its own."""
+    residual = F.abs(F.col("gap_paise") - F.col("linked_paise"))
+    return rows.withColumn("residual_paise", residual).withColumn("child", residual > cfg.tolerance_abs_paise)
+
+
 def first_of(rows: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")

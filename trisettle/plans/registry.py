@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from trisettle.plans import matching, queue, text, views
+from trisettle.plans import matching, queue, summaries, text, views
 
 QUERIES = {}
 ORACLE_SQL = {}
-for module in (matching, queue, text, views):
+for module in (matching, queue, summaries, text, views):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
