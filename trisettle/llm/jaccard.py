@@ -8,12 +8,14 @@ tokens last and goes by hash otherwise:
   with the highest counts. Any set F gives the same result, a good one only saves candidates.
 * A document extends its prefix over frequent tokens until it has n - ceil(t n) + 1 other ones, and indexes those one
   by one.
-* A document without so many indexes all its other tokens one by one and its frequent ones by combinations of two
-  that follow each other in its order. Two such documents that are similar and share no single token share more than
-  (|x| + |y|) / 7 * 2 - 1 of these combinations, as a missing token breaks two and an additional one breaks one.
-
-Candidates are verified on the whole token sets. A component needs no link of every pair: each document is first
-held against the smallest document of the signature groups it is in, the one it shares most with; then pairs that
+* A document without so many has its other tokens one by one and its frequent ones, rarest first, in combinations of
+  two that follow each other. Two such documents that are similar share c = (|x| + |y|) * 2 / 7 - 1 or more of these
+  signatures, as a missing token breaks two combinations and an additional one breaks one. So, by the prefix
+  principle once more, each indexes all but the last c - 1 of its signatures, which are the most frequent ones.
+
+Pairs that share too few signatures for the similarity are dropped by a bound that loses none (``may_link``);
+the others are verified on the whole token sets. A component needs no link of every pair: each document is first
+held against the first document of the signature groups it is in, the one it shares most with; then pairs that
 share a signature and are still in different components are verified, all of them.
 """
 
@@ -23,20 +25,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trisettle.llm.common import written
+from trisettle.llm.common import small_batches, written
 from trisettle.llm.components import components
 from trisettle.llm.shingles import BASE, mixed, shingles
 
-#: Tokens in F at most: 8 bytes each go to every executor.
-MOST_FREQUENT = 1_000_000
+#: Tokens in F at most: 16 bytes each go to every executor.
+MOST_FREQUENT = 500_000
 #: Summed count from which a token is frequent; documents of a chunk in which a token must occur to be counted.
-FREQUENT = 24
-IN_CHUNK = 3
+FREQUENT = 16
+IN_CHUNK = 2
 #: Tokens of a chunk.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
+#: Rows of a batch that a Python task takes at once, so that neither side holds large batches of results.
+SLICE = 500
+EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 #: Bits of the filter that spares most documents a second look; one document sets one bit.
 FILTER_BITS = 1 << 22
 
@@ -46,6 +51,12 @@ def needed(n: np.ndarray | int) -> np.ndarray | int:
     return n // 4 + 1
 
 
+def sliced(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in source:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def as_signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
@@ -65,7 +76,7 @@ def outlined(docs: DataFrame, size: int) -> DataFrame:
             zero = np.zeros(n, np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), as_signed(tokens[keep]), pa.array(counts[keep].astype(np.int64)), pa.array(zero), pa.array(zero)], ["kind", "value", "n", "h1", "h2"])
 
-        for batch in source:
+        for batch in sliced(source):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = shingles(text.as_py(), size)
@@ -85,11 +96,13 @@ def outlined(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(batches, "kind int, value long, n long, h1 long, h2 long")
 
 
-def frequent(outline: DataFrame) -> np.ndarray:
-    """F, sorted; at most ``MOST_FREQUENT`` tokens reach the driver."""
+def frequent(outline: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """F, sorted, and each token's count; at most ``MOST_FREQUENT`` tokens reach the driver."""
     counts = outline.filter("kind = 1").groupBy("value").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).select("value").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+    top = counts.orderBy(F.desc("n"), "value").limit(MOST_FREQUENT).toArrow()
+    tokens, n = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
 
 
 def members(outline: DataFrame) -> DataFrame:
@@ -99,37 +112,42 @@ def members(outline: DataFrame) -> DataFrame:
     return docs.join(first, ["n", "h1", "h2"]).select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
-def signatures(docs: DataFrame, often: np.ndarray, size: int) -> DataFrame:
-    """signature, doc_id and n of every document with words."""
+def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
+    """signature (even: a token, odd: a combination), doc_id, n and loose of every document with words: -1 where it
+    has a full prefix of single tokens, else the number of its single tokens and, in the low 32 bits, the place of
+    the signature in its order."""
     shared = docs.sparkSession.sparkContext.broadcast(often)
 
-    def units(tokens: np.ndarray) -> np.ndarray:
-        often = shared.value
+    def units(tokens: np.ndarray) -> tuple[np.ndarray, int]:
+        often, counts = shared.value
+        rest = tokens[:0]
         if len(often):
             place = np.searchsorted(often, tokens)
             place[place == len(often)] = 0
             common = often[place] == tokens
-            rest, tokens = tokens[common], tokens[~common]
-        else:
-            rest = tokens[:0]
-        wanted = needed(len(tokens) + len(rest))
-        if len(tokens) >= wanted:
-            return tokens[:wanted]
-        return np.concatenate((tokens, mixed(rest[:-1] * np.uint64(BASE) + rest[1:]), rest if len(tokens) + len(rest) == 1 else rest[:0]))
+            rest = tokens[common][np.lexsort((tokens[common], counts[place[common]]))]
+            tokens = tokens[~common]
+        n = len(tokens) + len(rest)
+        if len(tokens) >= needed(n):
+            return tokens[: needed(n)] & EVEN, -1
+        pairs = mixed(rest[:-1] * np.uint64(BASE) + rest[1:]) | np.uint64(1)
+        least = max(1, -(-(2 * (n + -(-3 * n // 4)) - 7) // 7))  # c for the smallest partner
+        return np.concatenate((tokens & EVEN, pairs[: max(1, len(pairs) - least + 1)])), len(tokens)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            found, ids, sizes = [np.zeros(0, np.uint64)], [], []
+        for batch in sliced(source):
+            found, ids, sizes, rest = [np.zeros(0, np.uint64)], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 tokens = shingles(text.as_py(), size)
-                own = units(tokens) if len(tokens) else tokens
+                own, loose = units(tokens) if len(tokens) else (tokens, -1)
                 found.append(own)
+                rest.append(np.full(len(own), -1, np.int64) if loose < 0 else (loose << 32) + np.arange(len(own)))
                 ids.append(np.full(len(own), doc, np.int64))
                 sizes.append(np.full(len(own), len(tokens), np.int32))
             if ids:
-                yield pa.RecordBatch.from_arrays([as_signed(np.concatenate(found)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], ["signature", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([as_signed(np.concatenate(found)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(rest))], ["signature", "doc_id", "n", "loose"])
 
-    return docs.mapInArrow(batches, "signature long, doc_id long, n int")
+    return docs.mapInArrow(batches, "signature long, doc_id long, n int, loose long")
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
@@ -148,7 +166,7 @@ def token_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
-        for batch in source:
+        for batch in sliced(source):
             known = batch.column(0).to_numpy() % FILTER_BITS
             keep = np.flatnonzero(bits[known >> 5] >> (known & 31) & 1)
             sets = [shingles(batch.column(1)[int(i)].as_py(), size).view(np.int64) for i in keep]
@@ -160,18 +178,68 @@ def token_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b), a written table, that are similar."""
+    """The pairs (a, b), a written table, with the number of common tokens and whether they are similar."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "paired")
     sets = written(token_sets(docs, ids, size), "token-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total")).filter("4 * common >= 3 * (total - common)").select("a", "b")
+    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
+    return both.select("a", "b", "common", F.expr("4 * common >= 3 * (total - common)").alias("similar"))
+
+
+def may_link() -> Column:
+    """Whether (n_a, loose_a), (n_b, loose_b) allow the similarity with ``common`` shared signatures.
+
+    Similar sets share o = ceil(3 (n_a + n_b) / 7) tokens or more. Of two documents with full prefixes, the one whose
+    prefix ends first finds each of its prefix tokens that the other has in the other's prefix, so at most n - o of
+    them are not shared; a full prefix always ends before one that is not. Of two that are not full nothing more
+    than one shared signature is known.
+    """
+    total = F.col("n_a") + F.col("n_b")
+    shared = F.ceil(3 * total / 7)
+
+    def least(side: str) -> Column:
+        n = F.col(f"n_{side}")
+        return F.floor(n / 4) + 1 - n + shared
+
+    full_a, full_b = F.col("loose_a") < 0, F.col("loose_b") < 0
+    both = F.least(least("a"), least("b"))
+    bound = (F.when(full_a & full_b, both).when(full_a, least("a")).when(full_b, least("b"))
+             .otherwise(1))
+    return (F.col("common") >= bound) & sized()
 
 
-def sized(small: str, large: str):
+def sized() -> Column:
     """Whether the sizes allow the similarity."""
-    return (4 * F.col(small) >= 3 * F.col(large)) & (4 * F.col(large) >= 3 * F.col(small))
+    return (4 * F.col("n_a") >= 3 * F.col("n_b")) & (4 * F.col("n_b") >= 3 * F.col("n_a"))
+
+
+def fullness(loose: str) -> Column:
+    """-1 with a full prefix, 0 without."""
+    return F.when(F.col(loose) < 0, -1).otherwise(0)
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """Rows of different components that meet in a signature and may still be similar."""
+    one, other = (rows.select("signature", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "loose", "own", "pivot", "inside", "component")]) for side in "ab")
+    # two documents without full prefixes share none of their own tokens, and o = 3 (n_a + n_b) / 7 or more of the rest;
+    # around one pivot, what they share is inside it for both or outside it for both
+    rest = lambda side: F.col(f"n_{side}") - F.col(f"own_{side}")
+    most = F.least(rest("a"), rest("b"))
+    inside = F.least("inside_a", "inside_b") + F.least(rest("a") - F.col("inside_a"), rest("b") - F.col("inside_b"))
+    most = F.when(F.col("pivot_a") == F.col("pivot_b"), F.least(most, inside)).otherwise(most)
+    total = F.col("n_a") + F.col("n_b")
+    # the first signature that the two share has c - 1 shared ones behind it in either's n - 1. Own tokens break no
+    # combination, so of combinations more are shared: each missing frequent token breaks two, each additional one one
+    o = F.ceil(3 * total / 7)
+    c = F.greatest(3 * o - total - 1, F.lit(1))
+    singles = lambda side: F.shiftright(f"loose_{side}", 32)
+    chain = 3 * o - total - 1 + F.col("own_a") + F.col("own_b") + F.greatest(F.col("own_a") - singles("a"), F.col("own_b") - singles("b"))
+    c = F.when(F.col("signature") % 2 == 0, c).otherwise(F.greatest(c, chain))
+    early = lambda side: F.col(f"loose_{side}").bitwiseAND(F.lit(0xFFFFFFFF)) <= F.col(f"n_{side}") - 1 - c
+    shareable = (F.col("loose_a") < 0) | (F.col("loose_b") < 0) | ((7 * most >= 3 * total) & early("a") & early("b"))
+    return one.join(other, "signature").filter("doc_id_a < doc_id_b and component_a <> component_b").filter(shareable & sized())
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
@@ -179,32 +247,51 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
     A null or empty text has no shingles and is linked with nothing; rows with equal sets are one class and always
     linked; a repeated doc_id is returned for each of its rows; extra columns are ignored; an empty table gives an
-    empty result; texts are taken whole. doc_ids must not be null.
+    empty result; texts are taken whole. A
+    row without doc_id is only compared for equal sets: its component is that of its class, else null.
     """
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     outline = written(outlined(texts, size), "shingle-outline")
+    texts = texts.filter("doc_id is not null")
     known = written(members(outline), "shingle-classes")
     copies = written(known.filter("class_id <> doc_id or n = 0").select("doc_id").distinct(), "copies")
     originals = texts.join(copies, "doc_id", "left_anti")
     units = written(signatures(originals, frequent(outline), size), "signatures")
-    groups = units.groupBy("signature").agg(F.count("*").alias("members"), F.min("doc_id").alias("first")).filter("members > 1")
-    shared = written(units.join(groups, "signature").select("signature", "doc_id", "n", "first"), "shared-signatures")
-
-    first = shared.select(F.col("doc_id").alias("first"), F.col("n").alias("n_first")).distinct()
-    stars = (shared.filter("doc_id <> first").groupBy("doc_id", "n", "first").agg(F.count("*").alias("common"))
-             .join(first, "first").filter(sized("n", "n_first"))
-             .groupBy(F.col("doc_id").alias("b")).agg(F.max_by("first", F.struct("common", -F.col("first"))).alias("a")))
-    tried = written(stars.select("a", "b"), "stars")
-    edges = written(verified(tried, texts, size), "links")
+    # the first document of a group: the smallest doc_id, or of those without full prefixes the one nearest to the others
+    rank = F.when(F.col("loose") < 0, F.col("doc_id")).otherwise(F.shiftright("loose", 32) * F.lit(1 << 40) + F.pmod("doc_id", F.lit(1 << 40)))
+    groups = units.groupBy("signature").agg(F.count("*").alias("members"), F.min_by("doc_id", rank).alias("first")).filter("members > 1").select("signature", "first")
+    # written first: a join of two exchanges can be split where a signature is very common, one above an aggregate can't
+    groups = written(groups, "signature-groups")
+    shared = written(units.join(groups, "signature").select("signature", "doc_id", "n", "loose", "first"), "shared-signatures")
+
+    stars = (shared.filter("doc_id <> first").groupBy(F.col("doc_id").alias("b"), "first").agg(F.count("*").alias("common"))
+             .groupBy("b").agg(F.max_by("first", F.struct("common", -F.col("first"))).alias("a")))
+    flat = shared.withColumn("loose", fullness("loose"))
+    ours, theirs = (flat.select("signature", *[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "loose")]) for side in "ba")
+    tried = (stars.join(ours, F.col("b") == F.col("doc_id_b")).join(theirs.withColumnRenamed("doc_id_a", "a"), ["a", "signature"])
+             .groupBy("a", "b", "n_a", "n_b", "loose_a", "loose_b").agg(F.count("*").alias("common")).filter(may_link()))
+    tried = written(tried.select("a", "b", "n_a", "loose_a"), "stars")
+    checked = written(verified(tried.select("a", "b"), texts, size), "checked-stars")
+    edges = checked.filter("similar").select("a", "b")
     labels = components(edges)
 
-    placed = shared.join(labels, F.col("doc_id") == F.col("node"), "left").select("signature", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    mixed_groups = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature")
+    # single tokens that no other document without a full prefix has either
+    own = shared.filter("loose >= 0").groupBy("doc_id").agg((F.shiftright(F.max("loose"), 32) - F.count_if(F.col("signature") % 2 == 0)).alias("own"))
+    own = written(own.filter("own > 0"), "own-tokens")
+    # what documents share with their first document, where that has no full prefix either; a first one holds all of its own
+    firsts = tried.filter("loose_a >= 0")
+    around = checked.join(firsts.select("a", "b"), ["a", "b"]).select(F.col("b").alias("doc_id"), F.col("a").alias("pivot"), F.col("common").alias("inside"))
+    centres = firsts.select(F.col("a").alias("doc_id"), F.col("a").alias("pivot"), F.col("n_a").alias("inside")).distinct()
+    around = written(around.union(centres.join(around, "doc_id", "left_anti")), "pivots")
+    placed = (shared.join(labels, F.col("doc_id") == F.col("node"), "left").join(own, "doc_id", "left").join(around, "doc_id", "left")
+              .select("signature", "doc_id", "n", "loose", "pivot", "inside", F.coalesce("own", F.lit(0)).alias("own"), F.coalesce("component", "doc_id").alias("component")))
+    placed = written(placed, "placed-signatures")
+    mixed_groups = written(placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("signature"), "mixed-groups")
     open_rows = written(placed.join(mixed_groups, "signature"), "open-signatures")
-    other = open_rows.select("signature", *[F.col(c).alias(f"{c}_b") for c in ("doc_id", "n", "component")])
-    pairs = (open_rows.join(other, "signature").filter((F.col("doc_id") < F.col("doc_id_b")) & (F.col("component") != F.col("component_b")) & sized("n", "n_b"))
-             .select(F.col("doc_id").alias("a"), F.col("doc_id_b").alias("b")).distinct())
-    more = written(verified(written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), texts, size), "links")
+    pairs = (meetings(open_rows).groupBy(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b"), "n_a", "n_b", fullness("loose_a").alias("loose_a"), fullness("loose_b").alias("loose_b"))
+             .agg(F.count("*").alias("common")).filter(may_link()))
+    more = verified(written(pairs.join(tried, ["a", "b"], "left_anti").select("a", "b"), "pairs"), texts, size)
+    more = written(more.filter("similar").select("a", "b"), "links")
     if not more.isEmpty():
         labels = components(edges.union(more))
     return (known.join(labels, known.class_id == labels.node, "left")
