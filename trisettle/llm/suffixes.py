@@ -174,6 +174,11 @@ class Aligned:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
+    def strings(self, i: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hashes of the strings of LENGTH bytes that begin ``start`` bytes from the anchor of row i."""
+        at = start + REACH
+        return mixed((self.sums[i, at + LENGTH] - self.sums[i, at]) * POWERS.down[at])
+
     def before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether what follows the anchor in row i sorts before row j's; a text's end sorts first."""
         common = self.extension(i, j, self.right, 1)
@@ -292,8 +297,7 @@ def counted_spans(found: DataFrame) -> DataFrame:
             size = high - low
             row = np.repeat(np.arange(len(at)), size)
             start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[row]
-            sums = Aligned(data, at, at).sums
-            value = mixed((sums[row, start + REACH + LENGTH] - sums[row, start + REACH]) * POWERS.down[start + REACH])
+            value = Aligned(data, at, at).strings(row, start)
             yield pa.RecordBatch.from_arrays([signed(value), pa.array(batch.column(1).to_numpy()[row]), pa.array((at[row] + start).astype(np.int32))], ["string", "doc_id", "start"])
 
     strings = written(found.mapInArrow(batches, "string long, doc_id long, start int"), "strings").distinct()
