@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trisettle.llm.common import written
+from trisettle.llm.common import small_batches, written
 from trisettle.llm.shingles import BYTES, POWERS, mixed, prefix_hash
 
 LENGTH = 200
@@ -309,6 +309,8 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     """doc_id and byte spans that repeat; spans of a document may overlap."""
     every = written(anchors(texts), "anchors")
     often = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("first"), F.max("context").alias("last")).filter("n > 1")
+    # written first: a join of two exchanges can be split where an anchor is very common, one above an aggregate can't
+    often = written(often, "recurring-anchors")
     shared = written(every.join(often.select("anchor", (F.col("first") != F.col("last")).alias("several")), "anchor"), "shared-anchors")
     classes = shared.groupBy("anchor", "context", "several").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "at")).alias("one"))
     classes = written(classes.select("anchor", "context", "several", "n", "one.doc_id", "one.at"), "contexts")
@@ -327,11 +329,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document.
 
     A null or empty text has no bytes, and texts under LENGTH bytes lose none; a repeated row is a copy like any
-    other, and both lose all; documents of one doc_id must have one text; extra columns are ignored; an empty table
+    other, and both lose all; documents of one doc_id must have one text; rows without
+    doc_id are neither searched nor counted as a place elsewhere; extra columns are ignored; an empty table
     gives an empty result.
     """
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spans = written(repeated_spans(texts).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    texts = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    spans = written(repeated_spans(texts.filter("doc_id is not null")).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
