@@ -12,10 +12,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from trisettle.llm.common import small_batches
 
 #: Hash buckets of trigrams.
 BITS = 15
@@ -23,6 +27,7 @@ BUCKETS = 1 << BITS
 #: Labelled documents of each language that training uses, in expectation: a bounded sample, chosen by a hash.
 TRAIN_DOCUMENTS = 3_000
 STEPS = 12
+ANSWER = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("mixture", T.StringType())])
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -86,7 +91,7 @@ def sampled(df: DataFrame, per_language: int) -> DataFrame:
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = TRAIN_DOCUMENTS) -> tuple[list[str], np.ndarray]:
     """Languages in order and the smoothed probability of each trigram bucket in each; only counts reach the driver."""
-    rows = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
+    rows = small_batches(df).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("text is not null and lang is not null")
 
     def counted(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -114,17 +119,16 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *keep: str, text
     Null texts and texts without a letter are ``und`` with score 0, and so is every text of a model without
     languages; ties go to the first language in order; texts are taken whole; repeated rows are judged each.
     """
-    names, table = model
-    broadcast = df.sparkSession.sparkContext.broadcast((names, table))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema), "lang_pred string, score double, mixture string"])
+    broadcast = small_batches(df).sparkSession.sparkContext.broadcast(model)
 
-    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only the text goes to Python and only the answer comes back; the other columns stay where they are
+    @F.pandas_udf(ANSWER)
+    def infer(source: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names, table = broadcast.value
-        for batch in source:
+        for texts in source:
             out = []
-            for x in batch.column(batch.num_columns - 1):
-                doc = x.as_py()
-                grams = trigrams(doc) if doc and names and LETTER.search(doc) else ()
+            for doc in texts:
+                grams = trigrams(doc) if isinstance(doc, str) and names and LETTER.search(doc) else ()
                 if not len(grams):
                     out.append(("und", 0.0, ""))
                     continue
@@ -132,11 +136,11 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], *keep: str, text
                 best = int(np.argmax(share))
                 parts = ",".join(f"{names[i]}:{share[i]:.4f}" for i in np.flatnonzero(share))
                 out.append((names[best], float(min(1.0, share[best])), parts))
-            langs, scores, parts = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(parts, pa.string())],
-                                             [*batch.schema.names[:-1], "lang_pred", "score", "mixture"])
+            yield pd.DataFrame(out, columns=["lang_pred", "score", "mixture"])
 
-    return df.select(*keep, F.col(text).cast("string").alias("_whole_text")).mapInArrow(batches, schema)
+    # as it is costly, no filter on the answer may be pushed below it and ask twice
+    answer = infer.asNondeterministic()(F.col(text).cast("string")).alias("_answer")
+    return df.select(*keep, answer).select(*keep, "_answer.*")
 
 
 def held_out(key: str = "doc_id"):
