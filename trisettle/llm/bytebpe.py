@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trisettle.llm.common import small_batches
+
 #: Encoded pieces that a Python worker remembers before it starts anew.
 CACHE_PIECES = 450_000
 #: A space beside other white space: there a text cannot be cut before each space.
@@ -154,7 +156,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
             counts = [x.count(" ") + 1 if x else 0 for x in ids]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string())], ["doc_id", "n_tokens", "ids"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
         batches, "doc_id long, n_tokens long, ids string")
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trisettle.llm.bytebpe import byte_characters
-from trisettle.llm.common import shuffle_partitions, written
+from trisettle.llm.common import shuffle_partitions, small_batches, written
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
@@ -176,7 +176,7 @@ def tokenize(df: DataFrame, path: str, key: str, text: str, end_id: int, width:
             ids = [own.encode(x.as_py() or "") + end for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "doc_id long, ids binary")
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "doc_id long, ids binary")
 
 
 def in_blocks(width: int):
