@@ -275,3 +275,16 @@ def test_decontamination(spark, docs, empty):
     assert {r.doc_id for r in decontaminate.clean(rows, bench).collect()} == {4, 5, 6}
     assert decontaminate.matched(empty, bench).count() == decontaminate.matched(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench).columns == docs.columns
+
+
+def test_pii_adds_what_the_base_misses(spark):
+    lines = ["Write to ann.lee{i}@acme{i}.org today. Then rest", "Call +44 20 79{a} {b} at once", "We met on 2021-03-1{c} in the to be hall. It is 10.30", "Order 88{a}{b}77 of 1{a}{b} was ok. Next is on",
+             "card 4111 1111 1111 1111 now", "host 10.0.{c}.7 is up", "sum 1{a} 000 000 in all"]
+    rows = [(k, lines[k % 7].format(i=k, a=10 + k % 80, b=1000 + k % 9000, c=k % 10)) for k in range(2100)]
+    odd = {9001: ("write to bob (at) example (dot) com. Then rest", "bob (at) example (dot) com"), 9002: ("ring tel 020 7946 0958 now", "020 7946 0958"), 9003: ("meet (at) noon. Then rest", ""),
+           9004: ("tel 2021-03-12 was closed", ""), 9005: ("open (at) 10.30 in town", ""), 9006: ("card 4111 1111 1111 1112 now", ""), 9007: ("host 10.0.0.300 is up", "")}
+    docs = spark.createDataFrame(rows + [(k, t) for k, (t, _) in odd.items()], "doc_id long, text string")
+    got = {r.doc_id: [odd[r.doc_id][0][x.s: x.e] for x in r.other] for r in pii.find(docs).filter("doc_id > 9000").collect()}
+    assert got == {k: [want] if want else [] for k, (_, want) in odd.items()}
+    clean = {r.doc_id: r.text for r in pii.redact(docs).filter("doc_id > 9000").collect()}
+    assert clean[9001] == "write to <other>. Then rest" and clean[9002] == "ring tel <other> now" and clean[9003] == odd[9003][0]

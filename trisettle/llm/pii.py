@@ -1,10 +1,15 @@
 """Personal data: base patterns, and candidates judged by boosted trees.
 
 High-recall generators propose mail-like and number-like spans. Each has a few small integer features of its format
-and its context. Gradient boosted trees of depth two learn which candidates are personal data, taught by those that
-agree with a base span; as features are bins, training needs only counts by feature vector, taken over all
-documents. Isotonic regression on held-out documents calibrates the score, and candidates of a calibrated
-probability of at least ``PRECISION`` are added as kind ``other``.
+and its context. Gradient boosted trees of depth two learn which candidates are personal data. What the base cannot
+see must not be taught as wrong, so the lessons are: candidates that overlap a base span, and the same ones written
+as the base would miss them (a mail with its sign spelled out, a phone with a trunk prefix for its country code), are
+right; other candidates are wrong, except spelled-out mails and numbers after a phone's cue, which are not taught at
+all. Their counterparts are wrong ones made of plain text: three words with a two-letter one for the sign, and plain
+numbers as if they followed a cue, both weighed like the rewritten ones; and cards and addresses that fail the base's
+own check. As features are bins, training needs only
+counts by feature vector, taken over all documents. Isotonic regression on held-out documents calibrates the score,
+and candidates of a calibrated probability of at least ``PRECISION`` are added as kind ``other``.
 """
 
 from __future__ import annotations
@@ -29,9 +34,17 @@ OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]
 #: High-recall generators.
 MAIL_LIKE = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]++(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]++)*+"
 NUMBER_LIKE = r"(?<![0-9A-Za-z])[+(]?[0-9][0-9 ().\-/]{5,}[0-9]"
-FEATURES = ("generator", "plus", "digits", "dots", "separators", "at", "octets", "cue", "left")
+#: A mail up to where a blank beside a bare dot may already be the next sentence; the generator's sign in it.
+DOT = r"(?: \. |\.| ?(?:\(dot\)|\[dot\]) ?)"
+SIGN = r" ?(?:@|\(at\)|\[at\]) ?"
+TIGHT = rf"^[A-Za-z0-9._%+-]+{SIGN}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*"
+#: Plain text of the form of MAIL_LIKE, a two-letter word in the place of the sign.
+DECOY = MAIL_LIKE.replace(r" ?(?:@|\(at\)|\[at\]) ?", " [a-z]{2} ")
+DATE = r"^(?:[0-9]{4}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ][0-9]{4})(?![0-9])"
+COUNTRY = r"^\+(?:[0-9]{1,3}(?=[ ().-])|[0-9]{2})[ .-]*"
+FEATURES = ("generator", "plus", "digits", "dots", "separators", "at", "octets", "cue", "left", "tail", "date", "luhn")
 ROUNDS, SHRINK, PRECISION = 20, 0.4, 0.9
-CANDIDATE = f"struct<s:int,e:int,{','.join(f'{x}:int' for x in FEATURES)}>"
+CANDIDATE = f"struct<s:int,e:int,{','.join(f'{x}:int' for x in (*FEATURES, 'local_digits', 'local_separators'))}>"
 
 
 def digits(token: Column) -> Column:
@@ -68,38 +81,65 @@ def base(text: Column) -> dict[str, Column]:
     }
 
 
+def features(m: Column, before: Column, generator: int) -> dict[str, Column]:
+    """The features of a candidate, and those that a number would have with a trunk prefix for its country code."""
+    zero = F.lit(0)
+    count = lambda text, pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
+    domain = F.regexp_replace(m, rf"^[A-Za-z0-9._%+-]+{SIGN}", "")
+    left, lower = F.substring(before, -1, 1), F.lower(before)
+    sized = lambda n: F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6)
+    parted = lambda text: F.when(count(text, "[ ()/-]") == 0, 0).when(count(text, "[ ()/-]") < 3, 1).otherwise(2)
+    n = F.length(digits(m))
+    local = F.regexp_replace(m, COUNTRY, "0")
+    mail = generator == 0
+    return {
+        "generator": F.lit(generator),
+        "plus": m.startswith("+").cast("int"),
+        "digits": zero if mail else sized(n),
+        "dots": F.least(count(domain, DOT) if not mail else F.size(F.split(domain, DOT, -1)) - 1, F.lit(4)),
+        "separators": zero if mail else parted(m),
+        "at": m.rlike("[^ ]@[^ ]").cast("int"),
+        "octets": F.when(m.rlike(OCTETS), 1).when(m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 2).otherwise(0),
+        "cue": F.when(lower.rlike("mail|contact"), 1).when(lower.rlike("tel|phone|call|fax|mobil"), 2).when(lower.rlike("card|visa|account|iban"), 3).when(lower.rlike("ip|host|server|addr"), 4).otherwise(0),
+        "left": F.when(left.rlike(r"^\s*$"), 0).when(left.rlike("[0-9]|\\p{L}"), 2).otherwise(1),
+        "tail": domain.rlike(rf"{DOT}[A-Za-z]{{2,24}}$").cast("int") if mail else zero,
+        "date": zero if mail else m.rlike(DATE).cast("int"),
+        "luhn": zero if mail else F.when(n.between(14, 19), luhn(digits(m)).cast("int")).otherwise(0),
+        "local_digits": zero if mail else sized(F.length(digits(local))),
+        "local_separators": zero if mail else parted(local),
+    }
+
+
 def candidates(text: Column) -> Column:
     """What the generators propose, with features."""
     none = F.array().cast(f"array<{MATCH}>")
 
-    def row(x: Column, generator: int) -> Column:
-        m = x["m"]
-        n = F.length(digits(m))
-        count = lambda pattern: F.length(m) - F.length(F.regexp_replace(m, pattern, ""))
-        left = F.substring(x["before"], -1, 1)
-        before = F.lower(x["before"])
-        values = {
-            "generator": F.lit(generator),
-            "plus": m.startswith("+").cast("int"),
-            "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6),
-            "dots": F.least(count(r"\."), F.lit(4)),
-            "separators": F.when(count("[ ()/-]") == 0, 0).when(count("[ ()/-]") < 3, 1).otherwise(2),
-            "at": F.contains(m, F.lit("@")).cast("int"),
-            "octets": m.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$").cast("int"),
-            "cue": F.when(before.rlike("mail|contact"), 1).when(before.rlike("tel|phone|call|fax|mobil"), 2).when(before.rlike("card|visa|account|iban"), 3).when(before.rlike("ip|host|server|addr"), 4).otherwise(0),
-            "left": F.when(left.rlike(r"^\s*$"), 0).when(left.rlike("[0-9]|\\p{L}"), 2).otherwise(1),
-        }
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), *[values[k].alias(k) for k in FEATURES])
+    def row(x: Column, m: Column, generator: int) -> Column:
+        return let(m, lambda m: F.struct(x["s"].alias("s"), (x["s"] + F.length(m)).alias("e"), *[v.alias(k) for k, v in features(m, x["before"], generator).items()]))
 
     mails = F.when(text.rlike(r"@|[(\[]at[)\]]"), matches(text, MAIL_LIKE)).otherwise(none)
     numbers = F.when(text.rlike(r"[0-9][0-9 ().\-/]{5}"), matches(text, NUMBER_LIKE)).otherwise(none)
-    return F.concat(F.transform(mails, lambda x: row(x, 0)), F.transform(numbers, lambda x: row(x, 1))).cast(f"array<{CANDIDATE}>")
+    return F.concat(F.transform(mails, lambda x: row(x, F.regexp_extract(x["m"], TIGHT, 0), 0)), F.transform(numbers, lambda x: row(x, x["m"], 1))).cast(f"array<{CANDIDATE}>")
+
+
+def decoys(text: Column) -> Column:
+    """Plain text as if a two-letter word in it were a mail's sign: how often (n) with what dots and tail."""
+
+    def code(m: Column) -> Column:
+        spelled = F.regexp_extract(F.regexp_replace(m, r"^([^ ]+) [a-z]{2} ", "$1 (at) "), TIGHT, 0)
+        own = lambda s: (lambda x: 2 * x["dots"] + x["tail"])(features(s, F.lit(" "), 0))
+        return F.when(m.rlike(r"^[^ ]+ [a-z]{2} .*[.\])]"), let(spelled, own)).otherwise(0)
+
+    def tallied(codes: Column) -> Column:
+        return F.transform(F.array_distinct(codes), lambda c: F.struct(c.alias("code"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
+
+    return let(F.transform(F.regexp_extract_all(text, F.lit(DECOY), F.lit(0)), code), tallied).cast("array<struct<code:int,n:int>>")
 
 
 def proposed(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """The base spans by kind and candidates of every row, beside the columns ``keep``."""
+    """The base spans by kind, candidates and decoys of every row, beside the columns ``keep``."""
     rows = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("_text"), *keep)
-    return rows.select("doc_id", *keep, *[v.alias(k) for k, v in base(F.col("_text")).items()], candidates(F.col("_text")).alias("candidates"))
+    return rows.select("doc_id", *keep, *[v.alias(k) for k, v in base(F.col("_text")).items()], candidates(F.col("_text")).alias("candidates"), decoys(F.col("_text")).alias("decoys"))
 
 
 def overlaps(spans: Column, x: Column) -> Column:
@@ -181,19 +221,52 @@ def calibrated(scored: list[tuple[float, int, int]], least: float) -> float | No
     return next((m for m, yes, n in blocks if yes >= least * n), None)
 
 
+def lessons(known: Column) -> Column:
+    """Rows to learn from: a candidate's features, ``yes`` and ``made`` (1: rewritten, 2: made of plain text, 3: failing
+    the base's check)."""
+    row = lambda x, yes, made, n=F.lit(1): x.withField("yes", yes).withField("made", F.lit(made)).withField("n", n)
+
+    def decoy(x: Column) -> Column:
+        values = {"dots": F.floor(x["code"] / 2).cast("int"), "tail": x["code"] % 2}
+        plain = F.struct(*[values.get(f.split(":")[0], F.lit(0)).alias(f.split(":")[0]) for f in CANDIDATE[7:-1].split(",")]).cast(CANDIDATE)
+        return row(plain, F.lit(False), 2, x["n"])
+
+    def taught(x: Column) -> Column:
+        yes = overlaps(known, x)
+        mail, no_plus = x["generator"] == 0, x["plus"] == 0
+        unseen = ~yes & ((mail & (x["at"] == 0)) | (~mail & no_plus & x["digits"].between(1, 3) & (x["cue"] == 2)))
+        spelled = x.withField("at", F.lit(0))
+        local = x.withField("plus", F.lit(0)).withField("digits", x["local_digits"]).withField("separators", x["local_separators"])
+        none = F.filter(F.array(row(x, yes, 0)), lambda _: F.lit(False))
+        return F.concat(
+            F.when(unseen, none).otherwise(F.array(row(x, yes, 0))),
+            F.when(yes & mail, F.array(row(spelled, F.lit(True), 1))).when(yes & ~mail & ~no_plus, F.array(row(local, F.lit(True), 1)))
+            .when(yes & (x["luhn"] == 1), F.array(row(x.withField("luhn", F.lit(0)), F.lit(False), 3)))
+            .when(yes & (x["octets"] == 1), F.array(row(x.withField("octets", F.lit(2)), F.lit(False), 3)))
+            .when(~yes & ~mail & no_plus & (x["cue"] == 0), F.array(row(x.withField("cue", F.lit(2)), F.lit(False), 2))).otherwise(none))
+
+    return F.concat(F.flatten(F.transform("candidates", taught)), F.transform("decoys", decoy))
+
+
 def fit(found: DataFrame) -> Model:
     """Train on two of three documents by hash and calibrate on the third; only counts by feature vector, bounded by
     the product of the bins, reach the driver."""
     held = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")
     known = F.concat("email", "ip", "card", "phone")
-    rows = found.filter(F.size("candidates") > 0).select(held, F.explode(F.transform("candidates", lambda x: x.withField("yes", overlaps(known, x)))).alias("x"))
-    counts = [r.asDict() for r in rows.groupBy("held", *[f"x.{f}" for f in FEATURES]).agg(F.count_if("x.yes").alias("yes"), F.count_if(~F.col("x.yes")).alias("no")).collect()]
-    counts.sort(key=lambda c: (c["held"], *[c[f] for f in FEATURES]))
+    rows = found.filter((F.size("candidates") > 0) | (F.size("decoys") > 0)).select(held, F.explode(let(known, lessons)).alias("x"))
+    counts = [r.asDict() for r in rows.groupBy("held", *[f"x.{f}" for f in FEATURES], "x.made").agg(F.sum(F.when(F.col("x.yes"), F.col("x.n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("x.yes"), 0).otherwise(F.col("x.n"))).alias("no")).collect()]
+    counts.sort(key=lambda c: (c["held"], c["made"], *[c[f] for f in FEATURES]))
+    totals = defaultdict(int)
+    for c in counts:
+        totals[c["held"], c["generator"], c["made"]] += c["yes"] + c["no"]
+    for c in counts:
+        if c["made"] == 2:
+            c["no"] *= min(1.0, totals[c["held"], c["generator"], 1] / totals[c["held"], c["generator"], 2])
     trees = boosted([c for c in counts if not c["held"]])
     model = Model(trees, {})
     margins = {}
     for generator in (0, 1):
-        least = calibrated([(model.margin(c), c["yes"], c["no"]) for c in counts if c["held"] and c["generator"] == generator], PRECISION)
+        least = calibrated([(model.margin(c), c["yes"], c["no"]) for c in counts if c["held"] and c["generator"] == generator and c["yes"] + c["no"] > 0], PRECISION)
         if least is not None:
             margins[generator] = least
     return Model(trees, margins)
