@@ -288,3 +288,11 @@ def test_pii_adds_what_the_base_misses(spark):
     assert got == {k: [want] if want else [] for k, (_, want) in odd.items()}
     clean = {r.doc_id: r.text for r in pii.redact(docs).filter("doc_id > 9000").collect()}
     assert clean[9001] == "write to <other>. Then rest" and clean[9002] == "ring tel <other> now" and clean[9003] == odd[9003][0]
+
+
+def test_decontamination_meets_short_items_everywhere(spark):
+    bench = spark.createDataFrame([(1, "seven small grey birds sang over cold water"), (2, "old ships often carried very strange green glass"), (3, "name the largest moon"), (4, "which river crosses both of these quiet old border towns")], "item_id long, text string")
+    rows = [(10 * k + i, "word " * k + text + " and so forth it went", i) for k in range(4) for i, text in enumerate(["old ships often carried very strange green glass", "name the largest moon", "which river crosses both of these quiet old border towns"], 2)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows] + [(99, "name the smallest moon and the largest"), (98, "name the largest moon")], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matched(docs, bench).collect()}
+    assert got == {(d, i) for d, _, i in rows} | {(98, 3)}

@@ -2,8 +2,8 @@
 
 Texts are canonicalised word by word: numbers, names (capitalised words inside a sentence) and units after a number
 become typed placeholders, punctuation goes, letters are lower-cased. Windows of ``WIDTH`` template words of the
-benchmark are hash-joined with every ``STEP``-th window of the documents, which meets any common run of
-``WIDTH + STEP - 1`` words. Each meeting fixes an alignment of document and item; there the templates are compared
+benchmark are hash-joined with every window of the documents, which meets any common run of ``WIDTH`` words; a
+shorter item is one window of its own length, and all of its words must match. Each meeting fixes an alignment of document and item; there the templates are compared
 word by word, and the values in the slots must correspond one to one in direction item to document: a question with
 other names and numbers still has one new value for each old one, a chance meeting does not.
 """
@@ -17,9 +17,8 @@ from trisettle.llm.common import text_or_empty, written
 from trisettle.llm.spans import let
 
 WIDTH = 8
-STEP = 3
 #: Matching template words that make a document contaminated (an item with fewer than twice as many needs half).
-LEAST = WIDTH + STEP - 1
+LEAST = 10
 #: Words of a window that must not be placeholders.
 LITERAL = 5
 GAP = r"[\x20\x09-\x0D]"
@@ -50,11 +49,11 @@ def aligned_words(text: Column, names: bool) -> Column:
     return F.filter(rows, lambda x: x["t"] != "")
 
 
-def windows(words: Column, step: int) -> Column:
-    """Hashes of windows at every ``step``-th word, and of the last one."""
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.size(words) - WIDTH, F.lit(step)), F.array(F.size(words) - WIDTH)))
-    rows = F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, WIDTH)).alias("hash"), i.alias("at")))
-    return F.when(F.size(words) >= WIDTH, rows).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
+def windows(words: Column, width: Column | int = WIDTH) -> Column:
+    """Hashes of all windows of ``width`` words."""
+    width = F.lit(width) if isinstance(width, int) else width
+    rows = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, width)).alias("hash"), i.alias("at")))
+    return F.when((F.size(words) >= width) & (width > 0), rows).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
 
 
 def items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
@@ -67,9 +66,9 @@ def items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
 def index(forms: DataFrame) -> DataFrame:
     """Windows of the items with enough words that are no placeholders."""
     words = F.transform("item", lambda x: x["t"])
-    rows = forms.select("item_id", "form", words.alias("words")).select("item_id", "form", "words", F.inline(windows(F.col("words"), 1)))
+    rows = forms.select("item_id", "form", words.alias("words")).select("item_id", "form", "words", F.inline(windows(F.col("words"), F.least(F.size("words"), F.lit(WIDTH)))))
     literal = F.size(F.filter(F.slice("words", F.col("at") + 1, WIDTH), lambda x: ~x.contains("<")))
-    return rows.filter(literal >= LITERAL).select("hash", "item_id", "form", F.col("at").alias("item_at")).distinct()
+    return rows.filter((literal >= LITERAL) | (F.size("words") < WIDTH)).select(F.least(F.size("words"), F.lit(WIDTH)).alias("width"), "hash", "item_id", "form", F.col("at").alias("item_at")).distinct()
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
@@ -77,8 +76,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     """One row for each contaminated document and item: doc_id, item_id, matched (template words), n_words (of the
     item) and reparameterised (a slot has another value).
 
-    Null and empty texts match nothing, nor do items of fewer than ``WIDTH`` words, whose template says too little;
-    a null doc_id matches nothing; repeated rows give one row; extra columns are ignored; an empty table on either
+    Null and empty texts match nothing; an item of fewer than ``WIDTH`` words needs all of them; a null doc_id matches nothing; repeated rows give one row; extra columns are ignored; an empty table on either
     side gives an empty result. Ties between alignments: the one with most matching words counts.
 
     Both lookups join written tables, whose size Spark knows: it broadcasts them below its own threshold and
@@ -88,8 +86,11 @@ def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     known = written(index(forms), "benchmark-windows")
     texts = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
     words = texts.select("doc_id", template_words(F.col("text"), True).alias("words"))
-    found = words.select("doc_id", F.inline(windows(F.col("words"), STEP)))
-    hits = found.join(known, "hash").select("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    short = [r.width for r in known.filter(F.col("width") < WIDTH).select("width").distinct().collect()]  # WIDTH - 1 rows at most
+    wide = lambda w: F.transform(windows(F.col("words"), w), lambda x: x.withField("width", F.lit(w)))
+    every = F.concat(*map(wide, (*sorted(short), WIDTH)))
+    found = words.select("doc_id", F.inline(every))
+    hits = found.join(known, ["hash", "width"]).select("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     meetings = written(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "form", "shift")).alias("hits")), "benchmark-hits")
     near = texts.join(meetings, "doc_id").select("doc_id", aligned_words(F.col("text"), True).alias("doc"), "hits")
     pairs = near.select("doc_id", "doc", F.inline("hits")).join(forms, ["item_id", "form"])
@@ -107,7 +108,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         return let(places, judged)
 
     judged = pairs.select("doc_id", "item_id", F.size("item").alias("n_words"), compared(F.col("doc"), F.col("item"), F.col("shift")).alias("x"))
-    enough = (F.col("x.matched") >= LEAST) | (2 * F.col("x.matched") >= F.col("n_words"))
+    enough = (F.col("x.matched") >= LEAST) | ((2 * F.col("x.matched") >= F.col("n_words")) & ((F.col("n_words") >= WIDTH) | (F.col("x.matched") == F.col("n_words"))))
     return (judged.filter(enough & F.col("x.consistent"))
             .groupBy("doc_id", "item_id").agg(F.max(F.struct("x.matched", "n_words", (~F.col("x.reparameterised")).alias("same"))).alias("best"))
             .select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.n_words").cast("long").alias("n_words"), (~F.col("best.same")).alias("reparameterised")))
