@@ -9,6 +9,7 @@ bytes of each id.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from trisettle.llm.common import small_batches
 
-#: Encoded pieces that a Python worker remembers before it starts anew.
-CACHE_PIECES = 450_000
+#: Bytes of pieces and ids, with what their objects take, that a Python worker remembers before it starts anew.
+CACHE_BYTES = 48 << 20
+ENTRY_BYTES = 200
 #: A space beside other white space: there a text cannot be cut before each space.
 UNCUTTABLE = regex.compile(r"\s | \s")
 
@@ -95,6 +97,12 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.bytes_of = {str(rank): piece for piece, rank in self.ranks.items()}
         self.known: dict[str, str] = {}
+        self.held = 0
+
+    def forget(self) -> None:
+        """Drop what is remembered: workers outlive their tasks."""
+        self.known.clear()
+        self.held = 0
 
     def _learn(self, pieces: Iterable[str]) -> None:
         """Remember the ids of pieces: of each pre-token, the vocabulary entry that equals it or else its merges."""
@@ -110,7 +118,9 @@ class Codec:
         merge = [t for t, w in wanted.items() if not w.isdecimal() or t.encode() not in self.ranks]
         for token, ids in zip(merge, self.model.encode([wanted[t] for t in merge], num_threads=1) if merge else [], strict=True):
             wanted[token] = " ".join(map(str, ids))
-        self.known.update((piece, " ".join(map(wanted.__getitem__, tokens))) for piece, tokens in found.items())
+        for piece, tokens in found.items():
+            ids = self.known[piece] = " ".join(map(wanted.__getitem__, tokens))
+            self.held += ENTRY_BYTES + len(piece) + len(ids)
 
     def encode(self, text: str) -> str:
         """The ids in decimal, joined by one space."""
@@ -125,8 +135,8 @@ class Codec:
         try:
             return " ".join([known[x] for x in pieces])
         except KeyError:
-            if len(known) > CACHE_PIECES:
-                known.clear()
+            if self.held > CACHE_BYTES:
+                self.forget()
             self._learn({x for x in pieces if x not in known})
         return " ".join([known[x] for x in pieces])
 
@@ -178,3 +188,25 @@ def digests(df: DataFrame) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
     return df.select("doc_id", "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"),
                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """What ``digests(decode(encode(df)))`` gives, in one visit of each batch: a task needs one Python worker, and
+    neither ids nor decoded bytes travel."""
+    default_path, default_pattern = default_files()
+    path, pattern = path or default_path, pattern or default_pattern
+
+    def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(path, pattern)
+        for batch in source:
+            counts, encoded, decoded = [], [], []
+            for x in batch.column(1):
+                ids = own.encode(x.as_py() or "")
+                counts.append(ids.count(" ") + 1 if ids else 0)
+                encoded.append(hashlib.sha256(ids.encode()).hexdigest())
+                decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()
+
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
+        batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

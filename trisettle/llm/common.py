@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -39,15 +40,20 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(df: DataFrame, rows: int = 1_000) -> DataFrame:
-    """``df``, in a session that hands Python at most ``rows`` rows at once: rows with whole texts are large, and both
-    the JVM and Python hold a batch."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def small_batches(df: DataFrame, rows: int = 1_000, size: int = 8 << 20) -> DataFrame:
+    """``df``, in a session that hands Python at most ``rows`` rows and about ``size`` bytes at once: rows with whole
+    texts are large, and both the JVM and Python hold a batch. The session keeps the limits, as plans run later."""
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, str(rows))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(re.sub("[^0-9-]", "", conf.get(name))) <= most:
+            conf.set(name, str(most))
     return df
 
 
+def row_key(*columns: str):
+    """A 64-bit key of a row's values: equal rows share it, others do but for a chance of (rows)**2 / 2**65."""
+    return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in columns])
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))

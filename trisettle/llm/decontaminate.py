@@ -1,11 +1,16 @@
 """Benchmark decontamination by templates.
 
 Texts are canonicalised word by word: numbers, names (capitalised words inside a sentence) and units after a number
-become typed placeholders, punctuation goes, letters are lower-cased. Windows of ``WIDTH`` template words of the
-benchmark are hash-joined with every window of the documents, which meets any common run of ``WIDTH`` words; a
-shorter item is one window of its own length, and all of its words must match. Each meeting fixes an alignment of document and item; there the templates are compared
-word by word, and the values in the slots must correspond one to one in direction item to document: a question with
-other names and numbers still has one new value for each old one, a chance meeting does not.
+become typed placeholders, punctuation goes, letters are lower-cased. Every window of ``WIDTH`` words of the documents
+is hash-joined with the benchmark's by its template. A benchmark window in which fewer than ``LITERAL`` words are no
+placeholders says too little: there runs of ``VERBATIM`` words from a slot on are joined by the words themselves. An
+item of fewer than ``WIDTH`` words is one window of its own length. So any common run of ``WIDTH`` words is met, in its
+own words if it has too few beside its slots.
+
+Each meeting fixes an alignment of document and item; there the templates are compared word by word. Slots must be
+consistent: an old value that stands for several new ones counts for the first of them only, and where more than a
+quarter of the slots conflict the meeting is by chance, unless nine in ten words are the very same. A question with
+other names and numbers still has one new value for each old one.
 """
 
 from __future__ import annotations
@@ -13,108 +18,153 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trisettle.llm.common import text_or_empty, written
+from trisettle.llm.common import row_key, text_or_empty, written
 from trisettle.llm.spans import let
 
 WIDTH = 8
-#: Matching template words that make a document contaminated (an item with fewer than twice as many needs half).
+#: Matching words that make a document contaminated (an item with fewer than twice as many needs half of its words).
 LEAST = 10
-#: Words of a window that must not be placeholders.
-LITERAL = 5
+#: Words of a window that are no placeholders, from which its template is used.
+LITERAL = 4
+#: Words of a run from a slot on: a window of fewer than LITERAL other words holds such a run.
+VERBATIM = WIDTH - LITERAL + 1
+#: Items of fewer words say too little inside a longer text: a document must be the item.
+ALONE = 4
 GAP = r"[\x20\x09-\x0D]"
-# Number words and units.
-NUMBERS = r"(?<![\p{L}0-9])[0-9]+(?:[.,:/][0-9]+)*|\b(?:two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|thirty|fifty|hundred|thousand|million)\b"
-UNIT = r"(?:mm|cm|km|m|mg|kg|g|ml|l|s|ms|min|h|minutes?|hours?|days?|weeks?|months?|years?|seconds?|miles?|meters?|metres?|feet|inches|dollars?|euros?|cents?|degrees?|percent)(?!\p{L})"
-NAMES = r"(?<=[\p{Ll},;] )\p{Lu}[\p{L}'-]+"
+# Number words, units, and private characters that stand for placeholders.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve twenty thirty fifty hundred thousand million".split()
+UNITS = ("mm cm km m mg kg g ml l s ms min h minute minutes hour hours day days week weeks month months year years second seconds mile miles "
+         "meter meters metre metres feet inches dollar dollars euro euros cent cents degree degrees percent").split()
+NAME, NUMBER, UNIT = "", "", ""
+#: A capitalised word after a small letter, a comma or a semicolon; the cheap test stands first.
+NAMES = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})[\p{L}'-]+"
+PUNCTUATION = rf"[^\p{{L}}\p{{N}}{NAME}\x20\x09-\x0D]+"
 
 
-def canonical(text: Column, names: bool) -> Column:
-    """The template of a text; white space stays, so that template and text split into the same words."""
-    out = F.regexp_replace(text, NAMES, "<name>") if names else text
-    out = F.lower(out)
-    out = F.when(out.rlike("[0-9]|two|three|four|five|six|seven|eight|nine|ten|eleven|twel|thirt|fift|hundred|thousand|million"), F.regexp_replace(out, NUMBERS, "<num>")).otherwise(out)
-    out = F.when(F.contains(out, F.lit("<num>")), F.regexp_replace(out, r"(?<=<num> )" + UNIT, "<unit>")).otherwise(out)
-    return F.regexp_replace(out, r"[^\p{L}\p{N}<>\x20\x09-\x0D]+", "")
+def words_of(text: Column, names: bool) -> Column:
+    """Words in lower case without punctuation, a name behind ``NAME``; empty where only punctuation stood."""
+    marked = F.regexp_replace(text, NAMES, f"{NAME}$0") if names else text
+    return F.array_remove(F.split(F.regexp_replace(F.lower(marked), PUNCTUATION, ""), GAP), "")
 
 
-def template_words(text: Column, names: bool) -> Column:
-    return F.array_remove(F.split(canonical(text, names), GAP), "")
+def template(words: Column) -> Column:
+    """The template word for each word: a slot's begins with its placeholder."""
 
+    def word(x: Column, i: Column) -> Column:
+        digits = lambda w: (w >= "0") & (w < ":")
+        previous = F.get(words, i - 1)
+        return (F.when(x >= NAME, NAME).when(digits(x), F.concat(F.lit(NUMBER), F.translate(x, "0123456789", "")))
+                .when(x.isin(NUMBER_WORDS), NUMBER)
+                .when(x.isin(UNITS), F.when(digits(previous) | previous.isin(NUMBER_WORDS), UNIT).otherwise(x)).otherwise(x))
 
-def aligned_words(text: Column, names: bool) -> Column:
-    """Template words beside the words they stand for (lower case, without punctuation)."""
-    plain = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.,:/\x20\x09-\x0D]+", "")
-    pairs = F.arrays_zip(F.split(canonical(text, names), GAP).alias("t"), F.split(plain, GAP).alias("w"))
-    rows = F.transform(pairs, lambda x: F.struct(x["t"].alias("t"), F.regexp_replace(x["w"], "[.,:/]+$", "").alias("w")))
-    return F.filter(rows, lambda x: x["t"] != "")
+    return F.transform(words, word)
 
 
-def windows(words: Column, width: Column | int = WIDTH) -> Column:
-    """Hashes of all windows of ``width`` words."""
-    width = F.lit(width) if isinstance(width, int) else width
-    rows = F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.struct(F.xxhash64(F.slice(words, i + 1, width)).alias("hash"), i.alias("at")))
-    return F.when((F.size(words) >= width) & (width > 0), rows).otherwise(F.array().cast("array<struct<hash:bigint,at:int>>"))
+def slot(template_word: Column) -> Column:
+    return template_word >= NAME
+
+
+def windows(rows: DataFrame, widths: list[int]) -> DataFrame:
+    """``rows`` with ``words`` to a row (hash, width, at beside the other columns) for every window of each width, by
+    its template, and for every run of ``VERBATIM`` words from a slot on, by the words (width 0).
+
+    Words are hashed once each; a window's hash is that of a slice of them, in generated code, row after row.
+    """
+    keep = [c for c in rows.columns if c != "words"]
+    # the lowest bit of a template word's hash tells slots
+    own = lambda x: F.xxhash64(x).bitwiseAND(F.lit(-2)).bitwiseOR(slot(x).cast("long"))
+    hashes = F.concat(F.transform(template(F.col("words")), own), F.transform("words", lambda x: F.xxhash64(x)))
+    rows = rows.filter(F.size("words") > 0).select(*keep, F.size("words").alias("n"), hashes.alias("hashes"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") * (len(widths) + 1) - 1)).alias("j"))
+    at = F.floor(F.col("j") / (len(widths) + 1)).cast("int")
+    width = F.element_at(F.array(*map(F.lit, [0, *widths])), F.col("j") % (len(widths) + 1) + 1)
+    rows = rows.select(*keep, "n", "hashes", at.alias("at"), width.alias("width"))
+    verbatim, size = F.col("width") == 0, F.when(F.col("width") == 0, VERBATIM).otherwise(F.col("width"))
+    first = F.col("at") + F.when(verbatim, F.col("n")).otherwise(0) + 1
+    rows = rows.filter((F.col("at") + size <= F.col("n")) & (~verbatim | (F.get("hashes", F.col("at")).bitwiseAND(F.lit(1)) == 1)))
+    return rows.select(*keep, F.xxhash64("width", F.slice("hashes", first, size)).alias("hash"), "width", "at")
 
 
 def items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     """Each item in two forms: with names as placeholders, and without for documents that lost their capitals."""
     rows = benchmark.select(F.col(item).alias("item_id"), text_or_empty(text).alias("text"))
-    forms = [rows.select("item_id", F.lit(int(names)).alias("form"), aligned_words(F.col("text"), names).alias("item")) for names in (True, False)]
-    return forms[0].unionByName(forms[1])
+    forms = [rows.select("item_id", F.lit(int(names)).alias("form"), words_of(F.col("text"), names).alias("item")) for names in (True, False)]
+    return forms[0].unionByName(forms[1]).filter(F.size("item") > 0).distinct()
 
 
 def index(forms: DataFrame) -> DataFrame:
-    """Windows of the items with enough words that are no placeholders."""
-    words = F.transform("item", lambda x: x["t"])
-    rows = forms.select("item_id", "form", words.alias("words")).select("item_id", "form", "words", F.inline(windows(F.col("words"), F.least(F.size("words"), F.lit(WIDTH)))))
-    literal = F.size(F.filter(F.slice("words", F.col("at") + 1, WIDTH), lambda x: ~x.contains("<")))
-    return rows.filter((literal >= LITERAL) | (F.size("words") < WIDTH)).select(F.least(F.size("words"), F.lit(WIDTH)).alias("width"), "hash", "item_id", "form", F.col("at").alias("item_at")).distinct()
+    """Windows of the items with enough words of their own, runs from a slot on in other windows; a shorter item is one
+    window."""
+    rows = forms.select("item_id", "form", F.size("item").alias("n_words"), "item", F.col("item").alias("words"))
+    found = windows(rows, list(range(1, WIDTH + 1)))
+    slots = lambda first, size: F.size(F.filter(template(F.slice("item", first, size)), slot))
+    poor = lambda first: slots(first, WIDTH) > WIDTH - LITERAL
+    around = F.sequence(F.greatest(F.col("at") + VERBATIM - WIDTH, F.lit(0)) + 1, F.least(F.col("at"), F.greatest(F.col("n_words") - WIDTH, F.lit(0))) + 1)
+    right = F.when(F.col("width") == 0, (F.col("n_words") < WIDTH) | ((F.col("n_words") >= WIDTH) & F.exists(around, poor)))
+    right = right.otherwise((F.col("width") == F.least("n_words", F.lit(WIDTH))) & ~((F.col("width") == WIDTH) & poor(F.col("at") + 1)))
+    return found.filter(right).select("item_id", "form", "n_words", "hash", "width", F.col("at").alias("item_at")).distinct()
+
+
+def judged(hit: Column) -> Column:
+    """How a part of a document (``part``, its first word aligned to ``skip`` of the item) matches the item."""
+    item, part, skip = hit["item"], hit["part"], hit["skip"]
+
+    def compared(both: Column) -> Column:
+        def counted(same: Column) -> Column:
+            slots = F.filter(same, lambda x: slot(x["t"]))
+            clash = lambda x, i: F.exists(F.slice(slots, 1, i), lambda y: (y["old"] == x["old"]) & (y["new"] != x["new"]))
+            verbatim = F.size(F.filter(same, lambda x: x["old"] == x["new"]))
+            return let(F.size(F.filter(slots, clash)), lambda bad: F.struct(
+                (F.size(same) - bad).alias("matched"), ((4 * bad <= F.size(slots)) | ((verbatim >= LEAST) & (10 * verbatim >= 9 * F.size(same)))).alias("consistent"),
+                F.exists(slots, lambda x: x["old"] != x["new"]).alias("reparameterised")))
+
+        return let(F.filter(both, lambda x: x["t"] == x["u"]), counted)
+
+    old, new = template(item), template(part)
+    rows = let(F.struct(old.alias("old"), new.alias("new")), lambda t: F.transform(part, lambda w, i: F.struct(
+        F.get(t["old"], i + skip).alias("t"), t["new"][i].alias("u"), F.get(item, i + skip).alias("old"), w.alias("new"))))
+    return let(rows, compared)
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
             item_text: str = "text") -> DataFrame:
-    """One row for each contaminated document and item: doc_id, item_id, matched (template words), n_words (of the
-    item) and reparameterised (a slot has another value).
+    """One row for each contaminated document and item: doc_id, item_id, matched (words), n_words (of the item) and
+    reparameterised (a slot has another value).
 
-    Null and empty texts match nothing; an item of fewer than ``WIDTH`` words needs all of them; a null doc_id matches nothing; repeated rows give one row; extra columns are ignored; an empty table on either
-    side gives an empty result. Ties between alignments: the one with most matching words counts.
+    Null and empty texts match nothing; an item of fewer than ``WIDTH`` words needs all of them, one of fewer than
+    ``ALONE`` a document of nothing else; a null doc_id matches nothing; repeated rows and items give one row; texts are
+    taken whole; extra columns are ignored; an empty table on either side gives an empty result. Ties between
+    alignments: the one with most matching words counts.
 
     Both lookups join written tables, whose size Spark knows: it broadcasts them below its own threshold and
     shuffles beyond it.
     """
     forms = written(items(benchmark, item, item_text), "benchmark-forms")
     known = written(index(forms), "benchmark-windows")
+    short = [r.width for r in known.filter(F.col("width").between(1, WIDTH - 1)).select("width").distinct().collect()]  # WIDTH - 1 rows at most
     texts = docs.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("text"))
-    words = texts.select("doc_id", template_words(F.col("text"), True).alias("words"))
-    short = [r.width for r in known.filter(F.col("width") < WIDTH).select("width").distinct().collect()]  # WIDTH - 1 rows at most
-    wide = lambda w: F.transform(windows(F.col("words"), w), lambda x: x.withField("width", F.lit(w)))
-    every = F.concat(*map(wide, (*sorted(short), WIDTH)))
-    found = words.select("doc_id", F.inline(every))
-    hits = found.join(known, ["hash", "width"]).select("doc_id", "item_id", "form", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    meetings = written(hits.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", "form", "shift")).alias("hits")), "benchmark-hits")
-    near = texts.join(meetings, "doc_id").select("doc_id", aligned_words(F.col("text"), True).alias("doc"), "hits")
-    pairs = near.select("doc_id", "doc", F.inline("hits")).join(forms, ["item_id", "form"])
-
-    def compared(doc: Column, words: Column, shift: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda p: F.get(doc, p + shift)["t"] == words[p]["t"])
-
-        def judged(same: Column) -> Column:
-            slots = F.filter(same, lambda p: words[p]["t"].contains("<"))
-            values = F.array_distinct(F.transform(slots, lambda p: F.struct(words[p]["w"].alias("old"), F.get(doc, p + shift)["w"].alias("new"))))
-            olds = F.array_distinct(F.transform(values, lambda x: x["old"]))
-            return F.struct(F.size(same).alias("matched"), (F.size(values) == F.size(olds)).alias("consistent"),
-                            F.exists(values, lambda x: x["old"] != x["new"]).alias("reparameterised"))
-
-        return let(places, judged)
-
-    judged = pairs.select("doc_id", "item_id", F.size("item").alias("n_words"), compared(F.col("doc"), F.col("item"), F.col("shift")).alias("x"))
-    enough = (F.col("x.matched") >= LEAST) | ((2 * F.col("x.matched") >= F.col("n_words")) & ((F.col("n_words") >= WIDTH) | (F.col("x.matched") == F.col("n_words"))))
-    return (judged.filter(enough & F.col("x.consistent"))
+    words = words_of(F.col("text"), True).alias("words")
+    found = windows(texts.select("doc_id", words), [*sorted(short), WIDTH]).join(known, ["hash", "width"])
+    hits = found.select("doc_id", "item_id", "form", "n_words", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    meetings = written(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "form", "n_words", "shift")).alias("hits")), "benchmark-hits")
+
+    # each hit takes its part of the document along, not the whole
+    def cut(h: Column) -> Column:
+        skip = F.greatest(-h["shift"], F.lit(0))
+        return h.withField("skip", skip).withField("size", F.size("words")).withField("part", F.slice("words", F.greatest(h["shift"], F.lit(0)) + 1, h["n_words"] - skip))
+
+    pairs = texts.join(meetings, "doc_id").select("doc_id", words, "hits").select("doc_id", F.inline(F.transform("hits", cut))).join(forms, ["item_id", "form"])
+    rows = pairs.select("doc_id", "item_id", "n_words", "size", judged(F.struct("item", "part", "skip")).alias("x"))
+    whole = F.col("x.matched") == F.col("n_words")
+    enough = (F.col("x.matched") >= LEAST) | (F.when(F.col("n_words") >= WIDTH, 2 * F.col("x.matched") >= F.col("n_words")).otherwise(whole & ((F.col("n_words") >= ALONE) | (F.col("size") == F.col("n_words")))))
+    return (rows.filter(enough & F.col("x.consistent"))
             .groupBy("doc_id", "item_id").agg(F.max(F.struct("x.matched", "n_words", (~F.col("x.reparameterised")).alias("same"))).alias("best"))
             .select("doc_id", "item_id", F.col("best.matched").cast("long").alias("matched"), F.col("best.n_words").cast("long").alias("n_words"), (~F.col("best.same")).alias("reparameterised")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the contaminated documents."""
-    bad = written(matched(docs, benchmark, key, text).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
-    return docs.join(bad, key, "left_anti").select(*docs.columns)
+    """``docs`` without the contaminated rows; rows are told apart by key and text, so a repeated or missing key makes
+    no difference. All else is as ``matched`` has it."""
+    keyed = docs.withColumn("_row", row_key(key, text))
+    bad = written(matched(keyed, benchmark, "_row", text).select(F.col("doc_id").alias("_row")).distinct(), "contaminated")
+    return keyed.join(bad, "_row", "left_anti").select(*docs.columns)

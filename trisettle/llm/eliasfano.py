@@ -4,7 +4,8 @@ File format (Parquet, in the shared folder): one row per block of consecutive do
 
     bucket, block   position: blocks sorted by (bucket, block) concatenate to the whole corpus
     ahead           ids of the bucket's blocks before this one; starts of buckets are a running sum over them
-    doc_ids         int64 little-endian, delta to the one before (the first one whole)
+    first_id        the first doc_id; those of all documents less it, which never fall either, are coded like the ends:
+    id_bits, id_low, id_high, id_samples
     n_docs, n_ids   documents and ids of the block
     width           bytes of an id: 2 if the vocabulary has at most 65,536 ids, else 4
     ids             the concatenated ids, little-endian
@@ -36,10 +37,12 @@ from trisettle.llm.common import shuffle_partitions, small_batches, written
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
-#: Encoded words that a Python worker remembers before it starts anew.
-CACHE_WORDS = 600_000
-#: Most buckets of a corpus; the table of their starts, 16 bytes each, is the one thing that is broadcast.
+#: Bytes of words and ids, with what their objects take, that a Python worker remembers before it starts anew.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 170
+#: Most buckets of a corpus; cuts between them, 8 bytes each, and their starts, 16 bytes each, are all that is broadcast.
 MOST_BUCKETS = 100_000
+SAMPLED = 30
 
 #: Latin-1 bytes with letters lowered and newlines as spaces.
 LOWER = bytes(0x20 if b == 0x0A else b + 32 if 0x41 <= b <= 0x5A or 0xC0 <= b <= 0xDE and b != 0xD7 else b for b in range(256))
@@ -47,7 +50,7 @@ LOWER = bytes(0x20 if b == 0x0A else b + 32 if 0x41 <= b <= 0x5A or 0xC0 <= b <=
 LATIN = re.compile("[a-zß-öø-ÿ]+")
 WORD_END = re.compile("(?<=[a-zß-öø-ÿ])(?=[.,] )")
 
-BLOCKS = "bucket int, block int, ahead long, doc_ids binary, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary"
+BLOCKS = "bucket int, block int, ahead long, first_id long, id_bits int, id_low binary, id_high binary, id_samples binary, n_docs int, n_ids long, width int, ids binary, low_bits int, low binary, high binary, samples binary"
 
 
 def pack(values: np.ndarray, bits: int) -> bytes:
@@ -58,13 +61,6 @@ def pack(values: np.ndarray, bits: int) -> bytes:
     return np.packbits(each.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
-def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
-    if not bits or not n:
-        return np.zeros(n, np.uint64)
-    each = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    return (each.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-
-
 class EliasFano:
     """A non-decreasing sequence of ``n`` values below or at ``bound``."""
 
@@ -98,30 +94,53 @@ class EliasFano:
         span = int.from_bytes(self.low[first >> 3: (first + self.low_bits + 7 >> 3)], "little") >> (first & 7)
         return place - i << self.low_bits | span & (1 << self.low_bits) - 1
 
-    def all(self) -> np.ndarray:
-        """Every value at once."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        return (((places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)) | unpack(self.low, self.low_bits, self.n)).astype(np.int64)
+    def values(self) -> np.ndarray:
+        """Every value, one select after the other."""
+        return np.fromiter(map(self.select, range(self.n)), np.uint64, self.n)
+
+
+# The steps of the one kind of tokenizer that ``Words`` can cut.
+STEPS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer's words are those of ``Words``: lower case, runs of letters or of marks, single digits."""
+    normal, pre = ((spec.get(k) or {}).get(part) or [{}] for k, part in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+    return bool([x.get("type") for x in normal] == STEPS and pre[0].get("pattern") == {"Regex": PATTERN} and spec["model"].get("end_of_word_suffix"))
 
 
 class Words:
-    """A tokenizer whose words end at white space: lower-cased words are encoded once and remembered."""
+    """A tokenizer whose words end at white space: lower-cased words are encoded once and remembered. Texts that hold
+    one of its special tokens are encoded as a whole, and so are all texts of any other kind of tokenizer."""
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.width, self.kind = width, {2: "H", 4: "I"}[width]
+        self.known: dict[str, bytes] = {}
+        self.held = 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in spec.get("added_tokens") or ()) or "(?!)")
+        self.by_word = cuts_at_spaces(spec)
+        if not self.by_word:
+            return
         # the same model without normaliser and splitting, for words of small Latin letters that need neither
         self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self.chars = {b: c for b, c in enumerate(byte_characters()) if b != 0x20}
         suffix = spec["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.ends[[i for token, i in spec["model"]["vocab"].items() if token.endswith(suffix)]] = True
-        self.width, self.kind = width, {2: "H", 4: "I"}[width]
-        self.known: dict[str, bytes] = {}
+
+    def forget(self) -> None:
+        """Drop what is remembered: workers outlive their tasks."""
+        self.known.clear()
+        self.held = 0
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         plain = [x for x in new if LATIN.fullmatch(x)]
@@ -140,15 +159,18 @@ class Words:
         """Packed ids of a whole text. Cutting at spaces and newlines, and between a letter and a full stop or comma
         at a word's end, changes nothing: the tokenizer drops white space and merges within runs of letters or of
         marks only. Nor does lowering Latin-1 letters, which it does itself."""
+        if not self.by_word or self.special.search(text):
+            return self._whole(text)
         try:
             plain = text.encode("latin-1").translate(LOWER).decode("latin-1") + " "
         except UnicodeEncodeError:
             plain = text.encode().lower().decode().replace("\n", " ") + " "
         words = WORD_END.sub(" ", plain).split(" ")
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if self.held > CACHE_BYTES:
+            self.forget()
         if new := set(words).difference(self.known):
             self._learn(list(new))
+            self.held += sum(ENTRY_BYTES + len(x) for x in new)
         return b"".join(map(self.known.__getitem__, words))
 
 
@@ -166,17 +188,30 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def tokenize(df: DataFrame, path: str, key: str, text: str, end_id: int, width: int) -> DataFrame:
-    """doc_id and packed ids with the end id of every text."""
+def tokenize(df: DataFrame, path: str, key: str, text: str, end_id: int, width: int, cuts: np.ndarray) -> DataFrame:
+    """bucket (the number of cuts at or below the doc_id), doc_id and packed ids with the end id of every text."""
     end = np.array([end_id], f"<u{width}").tobytes()
+    shared = df.sparkSession.sparkContext.broadcast(cuts)
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = words(path, width)
         for batch in source:
             ids = [own.encode(x.as_py() or "") + end for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            bucket = np.searchsorted(shared.value, batch.column(0).to_numpy(), side="right")
+            yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), batch.column(0), pa.array(ids, pa.binary())], ["bucket", "doc_id", "ids"])
+        own.forget()
 
-    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "doc_id long, ids binary")
+    return small_batches(df).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "bucket int, doc_id long, ids binary")
+
+
+def quantiles(ids: DataFrame, rows_per_bucket: int) -> np.ndarray:
+    """Cuts between buckets of doc_ids, from ``SAMPLED`` ids a bucket that a hash picks. They decide how even buckets
+    are, not what is written."""
+    n = ids.count()
+    wanted = min(MOST_BUCKETS, max(1, -(-n // rows_per_bucket)))
+    some = ids.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, SAMPLED * wanted / max(n, 1)) * (1 << 30)))
+    found = np.sort(some.toArrow().column(0).to_numpy())
+    return np.unique(found[np.arange(1, wanted) * len(found) // wanted]) if len(found) else found
 
 
 def in_blocks(width: int):
@@ -185,11 +220,11 @@ def in_blocks(width: int):
     def close(bucket: int, block: int, ahead: int, docs: list[int], parts: list[bytes]) -> tuple:
         ends = np.cumsum([len(x) // width for x in parts])
         code = EliasFano.encode(ends, int(ends[-1]))
-        deltas = np.diff(np.array(docs, np.int64), prepend=np.int64(0)).astype("<i8").tobytes()
-        return bucket, block, ahead, deltas, len(docs), int(ends[-1]), width, b"".join(parts), code.low_bits, code.low, code.high, code.samples
+        doc = EliasFano.encode(np.array(docs, np.int64).view(np.uint64) - np.uint64(docs[0] % (1 << 64)), docs[-1] - docs[0])
+        return bucket, block, ahead, docs[0], doc.low_bits, doc.low, doc.high, doc.samples, len(docs), int(ends[-1]), width, b"".join(parts), code.low_bits, code.low, code.high, code.samples
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ahead", pa.int64()), ("doc_ids", pa.binary()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()),
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("ahead", pa.int64()), ("first_id", pa.int64()), ("id_bits", pa.int32()), ("id_low", pa.binary()), ("id_high", pa.binary()), ("id_samples", pa.binary()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("width", pa.int32()),
                             ("ids", pa.binary()), ("low_bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("samples", pa.binary())])
         as_batch = lambda row: pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
         at, block, ahead, size, docs, parts = None, 0, 0, 0, [], []
@@ -224,13 +259,8 @@ def write(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | No
     width = 2 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
     spark = df.sparkSession
     doc = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    wanted = min(MOST_BUCKETS, max(1, -(-df.select(key).count() // rows_per_bucket)))
-    shares = [i / wanted for i in range(1, wanted)] or [0.5]
-    cuts = sorted(set(df.select(F.percentile_approx(doc, shares, 100 * wanted)).first()[0] or []))
-    tokens = tokenize(df.select(doc.alias(key), text), path, key, text, end_id, width)
-    # the bucket is the number of cuts at or below the doc_id
-    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut <= F.col("doc_id"))) if cuts else F.lit(0)
-    tokens = tokens.select(bucket.cast("int").alias("bucket"), "doc_id", "ids")
+    cuts = quantiles(df.select(doc.alias("doc_id")), rows_per_bucket)
+    tokens = tokenize(df.select(doc.alias(key), text), path, key, text, end_id, width, cuts)
     dealt = tokens.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
     return written(dealt.mapInArrow(in_blocks(width), BLOCKS), "token-blocks")
 
@@ -240,15 +270,16 @@ def boundaries(blocks: DataFrame) -> DataFrame:
     sizes = blocks.groupBy("bucket").agg(F.sum("n_ids").alias("n_ids"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("offset"))
+
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for row in batch.to_pylist():
                 n, kind = row["n_docs"], f"<u{row['width']}"
-                ends = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], n).all()
+                ends = EliasFano(row["low_bits"], row["low"], row["high"], row["samples"], n).values().astype(np.int64)
                 first = np.concatenate(([0], ends[:-1]))
                 ids = np.frombuffer(row["ids"], kind).astype("<u4")
                 sums = [zlib.crc32(ids[a:b]) for a, b in zip(first, ends, strict=True)]
-                docs = np.cumsum(np.frombuffer(row["doc_ids"], "<i8"))
+                docs = (EliasFano(row["id_bits"], row["id_low"], row["id_high"], row["id_samples"], n).values() + np.uint64(row["first_id"] % (1 << 64))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(first + row["offset"] + row["ahead"]), pa.array(ends - first), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return blocks.join(F.broadcast(offsets), "bucket").mapInArrow(batches, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trisettle.llm.common import small_batches, written
+from trisettle.llm.common import row_key, small_batches, written
 from trisettle.llm.components import components
 from trisettle.llm.shingles import BASE, mixed, shingles
 
@@ -299,6 +299,16 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5) -> DataFrame:
-    """``docs`` with one document of each group, the one with the smallest doc_id."""
-    spare = written(linked(docs, key, text, size).filter("component_id <> doc_id").select(F.col("doc_id").alias(key)).distinct(), "spare-copies")
-    return docs.join(spare, key, "left_anti").select(*docs.columns)
+    """``docs`` with one row of each group: the one with the smallest key, null keys last.
+
+    Rows are told apart by key and text, so two texts of one key are judged each, and of repeated rows one stays.
+    Whatever ``linked`` links is one group; rows without words are linked with nothing but their repetitions.
+    """
+    keyed = docs.withColumn("_row", row_key(key, text))
+    groups = linked(keyed, "_row", text, size).groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("group"), F.count("*").alias("n"))
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))
+    first = keyed.select("_row", order.alias("order")).distinct().join(groups, "_row").groupBy("group").agg(F.min(F.struct("order", "_row", "n")).alias("first"))
+    kept = written(first.select("first._row", "first.n"), "kept-rows")
+    single = keyed.join(kept.filter("n = 1").select("_row"), "_row", "left_semi")
+    repeated = keyed.join(kept.filter("n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(repeated).select(*docs.columns)

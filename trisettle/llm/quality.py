@@ -1,9 +1,10 @@
 """Quality rules whose cutoffs carry a guarantee.
 
 Every rule measures a text; a cutoff rejects texts above it. Labelled good documents show how many a cutoff would
-reject wrongly. For each stratum (language) and rule the strictest cutoff of a fixed grid is taken whose exact
-binomial upper bound on false rejection is within the rule's share of the risk; the level is divided by the number
-of strata, rules and cutoffs tried (Bonferroni), so all chosen cutoffs hold together.
+reject wrongly. For each stratum (language) and rule the cutoffs of a fixed grid are tested in a fixed sequence, the
+mildest first: one passes if the exact binomial upper bound on its false rejection is within the rule's share of the
+risk, and the first that fails ends the sequence. Such a sequence needs no correction within itself; the level is
+divided by the number of strata and rules (Bonferroni), so all chosen cutoffs hold together.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from trisettle.llm.common import SPACE, written
 from trisettle.llm.spans import let
 
-#: Rules and their cutoffs, strictest first; fixed beforehand so that the correction for multiple tests is exact.
+#: Rules and their cutoffs, strictest first; fixed beforehand, as the sequence of tests must be.
 RULES = {
     "symbol_share": (0.02, 0.05, 0.1, 0.2, 0.3),
     "repeat_share": (0.1, 0.2, 0.3, 0.4, 0.5),
@@ -76,19 +77,30 @@ def rule_values() -> dict[str, Column]:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial(n, p); for more than 100,000 terms the Chernoff bound, which is never lower."""
+    """P(X <= k) of a binomial(n, p): the regularised incomplete beta function of (n - k, k + 1) at 1 - p."""
     if k >= n:
         return 1.0
-    if k > 100_000:
-        q = k / n
-        return 1.0 if q >= p else math.exp(-n * (q * math.log(q / p) + (1 - q) * math.log((1 - q) / (1 - p))))
-    term = n * math.log1p(-p)
-    logs = [term]
-    for i in range(k):
-        term += math.log((n - i) / (i + 1)) + math.log(p) - math.log1p(-p)
-        logs.append(term)
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    return 0.0 if k < 0 else incomplete_beta(n - k, k + 1, 1 - p)
+
+
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """I_x(a, b) by its continued fraction, which takes about sqrt(a + b) steps on the side where it converges."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    kept = lambda v: v if abs(v) > 1e-300 else 1e-300
+    c, d = 1.0, 1 / kept(1 - (a + b) * x / (a + 1))
+    total, m = d, 1
+    while True:
+        for factor in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / kept(1 + factor * d)
+            c = kept(1 + factor / c)
+            total *= c * d
+        if abs(c * d - 1) < 1e-14:
+            return front * total
+        m += 1
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> dict[str, list[float | None]]:
@@ -100,12 +112,16 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = RISK, level: f
     held = measured.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
     counts = [F.count_if(value > c).alias(f"{name}|{i}") for name, value in rule_values().items() for i, c in enumerate(RULES[name])]
     rows = held.groupBy("stratum").agg(F.count("*").alias("n"), *counts).collect()
-    tests = max(1, len(rows)) * sum(map(len, RULES.values()))
+    tests = max(1, len(rows)) * len(RULES)
     each = risk / len(RULES)  # the rules together reject at most ``risk`` of the good documents
 
     def strictest(row, name: str) -> float | None:
-        fits = lambda i: binomial_tail(row[f"{name}|{i}"], row["n"], each) <= level / tests
-        return next((c for i, c in enumerate(RULES[name]) if fits(i)), None)
+        found = None
+        for i, cutoff in reversed(list(enumerate(RULES[name]))):
+            if binomial_tail(row[f"{name}|{i}"], row["n"], each) > level / tests:
+                break
+            found = cutoff
+        return found
 
     return {row["stratum"]: [strictest(row, name) for name in RULES] for row in rows}
 

@@ -14,8 +14,7 @@ def op10_rendezvous_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bytebpe.encode(table(spark, sf_dir, "documents"))
-    return bytebpe.digests(bytebpe.decode(encoded))
+    return bytebpe.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op4_elias_fano_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trisettle.llm.common import small_batches, written
+from trisettle.llm.common import row_key, small_batches, written
 from trisettle.llm.shingles import BYTES, POWERS, mixed, prefix_hash
 
 LENGTH = 200
@@ -329,12 +329,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document.
 
     A null or empty text has no bytes, and texts under LENGTH bytes lose none; a repeated row is a copy like any
-    other, and both lose all; documents of one doc_id must have one text; rows without
-    doc_id are neither searched nor counted as a place elsewhere; extra columns are ignored; an empty table
-    gives an empty result.
+    other, and both lose all; rows are told apart by key and text, so rows without doc_id and two texts of one are
+    judged each; extra columns are ignored; an empty table gives an empty result.
     """
-    texts = small_batches(docs).select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spans = written(repeated_spans(texts.filter("doc_id is not null")).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"), row_key(key, text).alias("doc_id"))
+    texts = rows.select("doc_id", "text")
+    spans = written(repeated_spans(texts).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "repeated-spans")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -353,4 +353,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.join(spans, "doc_id", "left").mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(spans, "doc_id", "left").select("key", "text", "spans").mapInArrow(batches, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
