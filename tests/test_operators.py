@@ -164,3 +164,11 @@ def test_stream_equals_batch(spark, tmp_path):
     assert once.count() == 200
     batch_rows = windows.tumbling(spark.createDataFrame(rows, schema), "1 hour")
     assert sorted(map(tuple, windows.tumbling(once, "1 hour").collect())) == sorted(map(tuple, batch_rows.collect()))
+
+
+def test_components_of_long_chains(spark):
+    from trisettle.operators.shared import components
+
+    chain = [(f"n{k:05d}", f"k{k + j}") for k in range(1000) for j in (0, 1)]
+    got = components(spark.createDataFrame([*chain, ("z", "alone")], "node string, key string")).collect()
+    assert {(r.node, r.root) for r in got} == {(f"n{k:05d}", "n00000") for k in range(1000)} | {("z", "z")}

@@ -97,6 +97,8 @@ def test_guard(spark):
     views = {"guarded": spark.range(1000).withColumnRenamed("id", "n")}
     assert guard.run(spark, "```sql\nSELECT n FROM guarded WHERE n > 10 ORDER BY n;\n```", views).count() == guard.MOST_ROWS
     assert guard.run(spark, "WITH w AS (SELECT max(n) AS m FROM guarded) SELECT m FROM w", views).first().m == 999
-    for bad in ("DROP TABLE guarded", "SELECT 1; SELECT 2", "SELECT * FROM other", "INSERT INTO guarded VALUES (1)", "SELECT n FROM guarded WHERE n IN (SELECT n FROM other)", "CREATE TABLE t AS SELECT 1", "nonsense"):
+    for bad in ("DROP TABLE guarded", "SELECT 1; SELECT 2", "SELECT * FROM other", "INSERT INTO guarded VALUES (1)", "SELECT n FROM guarded WHERE n IN (SELECT n FROM other)", "CREATE TABLE t AS SELECT 1", "nonsense",
+                "SELECT 'other AS (' AS x, s.* FROM other s", "SELECT reflect('java.lang.System', 'getenv', 'PATH') FROM guarded", "WITH other AS (SELECT 1 AS n) SELECT * FROM guarded WHERE n IN (WITH z AS (SELECT 1) SELECT * FROM secret)",
+                "SELECT * FROM (WITH other AS (SELECT 1 AS n) SELECT n FROM other) x JOIN other y ON x.n = y.n", "SELECT java_method('java.lang.System', 'lineSeparator')", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM guarded ORDER BY reflect('a', 'b')"):
         with pytest.raises(guard.Refused):
             guard.run(spark, bad, views)

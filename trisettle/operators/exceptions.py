@@ -17,13 +17,14 @@ def findings(gateway: DataFrame, bank: DataFrame, ledger: DataFrame, cfg: Config
     without a ledger row; 4. repeated ledger rows; 5. held gateway rows.
     """
     sums = settlements.arithmetic(gateway)
-    claimed = bank.select(F.concat(F.lit("S"), F.col("batch").cast("string")).alias("settlement_id"), "event_id", "amount_paise", "txn_date")
+    claimed = settlements.named(bank, gateway).filter("settlement_id is not null").select("settlement_id", "event_id", "amount_paise", "txn_date")
     missing = sums.join(claimed, "settlement_id", "left_anti").select(F.lit(1).alias("step"), F.lit("missing_in_bank").alias("category"), F.col("settlement_id").alias("subject"), F.col("expected_net_paise").alias("amount_paise"), F.col("expected_net_paise").alias("gap_paise"), F.col("gross_paise"), F.col("first_date").alias("on_date"))
     delta = F.col("amount_paise") - F.col("expected_net_paise")
     variance = claimed.join(sums, "settlement_id").filter(F.abs(delta) > scoring.tolerance(F.col("expected_net_paise"), F.col("n_txns"), cfg)).select(F.lit(2), F.lit("amount_variance"), "settlement_id", F.col("amount_paise"), F.abs(delta), F.col("gross_paise"), F.col("txn_date"))
-    booked = ledger.select(F.concat(F.lit("S"), F.col("batch").cast("string")).alias("settlement_id")).distinct()
+    books = settlements.named(ledger, gateway).filter("settlement_id is not null")
+    booked = books.select("settlement_id").distinct()
     unbooked = claimed.join(booked, "settlement_id", "left_anti").select(F.lit(3), F.lit("missing_in_ledger"), "settlement_id", F.col("amount_paise"), F.col("amount_paise"), F.col("amount_paise"), F.col("txn_date"))
-    twice = ledger.groupBy("batch").agg(F.count("*").alias("n"), F.min("amount_paise").alias("amount_paise"), F.min("txn_date").alias("txn_date")).filter("n > 1").select(F.lit(4), F.lit("duplicate_ledger_entry"), F.concat(F.lit("S"), F.col("batch").cast("string")), F.col("amount_paise"), F.col("amount_paise"), F.col("amount_paise"), F.col("txn_date"))
+    twice = books.groupBy("settlement_id").agg(F.count("*").alias("n"), F.min("amount_paise").alias("amount_paise"), F.min("txn_date").alias("txn_date")).filter("n > 1").select(F.lit(4), F.lit("duplicate_ledger_entry"), F.col("settlement_id"), F.col("amount_paise"), F.col("amount_paise"), F.col("amount_paise"), F.col("txn_date"))
     held = gateway.filter("on_hold").groupBy("settlement_id").agg(F.sum("amount_paise").alias("amount_paise"), F.min("txn_date").alias("txn_date")).select(F.lit(5), F.lit("revenue_booked_not_settled"), "settlement_id", F.col("amount_paise"), F.col("amount_paise"), F.col("amount_paise"), F.col("txn_date"))
     every = missing
     for step in (variance, unbooked, twice, held):

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 MOST_ROWS = 500
 #: Kinds of plan that read; anything else is refused.
 READING = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Join", "SubqueryAlias", "UnresolvedRelation", "UnresolvedWith", "UnresolvedSubqueryColumnAliases", "Distinct",
-           "Union", "Intersect", "Except", "UnresolvedHaving", "WithWindowDefinition", "OneRowRelation", "UnresolvedInlineTable", "LateralJoin", "Generate", "Offset", "UnresolvedTableValuedFunction"}
+           "Union", "Intersect", "Except", "UnresolvedHaving", "WithWindowDefinition", "OneRowRelation", "UnresolvedInlineTable", "LateralJoin", "Generate", "Offset"}
+#: Functions that only compute from their arguments; any other is refused.
+FUNCTIONS = set("""abs any_value array array_contains array_join array_size array_sort avg bround case cast ceil ceiling coalesce collect_list collect_set concat concat_ws contains count count_if
+date_add date_format date_sub date_trunc datediff day dense_rank element_at exists explode filter first floor format_number greatest if ifnull instr json_array_length lag last last_day lead least
+length lower lpad ltrim max max_by md5 median min min_by month months_between mod named_struct nullif nvl percentile posexplode power quarter rank regexp_extract regexp_like regexp_replace replace
+reverse round row_number rpad rtrim sha2 size split split_part startswith stddev struct substr substring sum to_date transform trim trunc upper variance weekofyear when year""".split())
 
 
 class Refused(ValueError):
@@ -24,23 +29,42 @@ def checked(spark: SparkSession, text: str, tables: set[str]) -> str:
     except Exception as error:
         raise Refused("not one statement of SQL") from error
     names: set[str] = set()
+    each = lambda seq: (seq.apply(i) for i in range(seq.size()))
 
-    def walk(node) -> None:
+    def expression(e, scope: frozenset) -> None:
+        kind = e.getClass().getSimpleName()
+        if kind == "UnresolvedFunction" and (name := e.nameParts().mkString(".").lower()) not in FUNCTIONS:
+            raise Refused(f"function {name} is not allowed")
+        if "Generator" in kind:
+            name = e.name().funcName() if hasattr(e.name(), "funcName") else str(e.name())
+            if str(name).lower() not in FUNCTIONS:
+                raise Refused(f"function {name} is not allowed")
+        for x in each(e.children()):
+            expression(x, scope)
+
+    def walk(node, scope: frozenset) -> None:
+        """``scope``: names of the common tables that this part of the statement sees."""
         kind = node.nodeName()
         if kind.lstrip("'") not in READING:
             raise Refused(f"{kind} is not allowed")
-        if "UnresolvedRelation" in kind:
+        if "UnresolvedRelation" in kind and node.name().lower() not in scope:
             names.add(node.name().lower())
-        for part in (node.children(), node.innerChildren()):
-            for i in range(part.size()):
-                walk(part.apply(i))
-        held = node.subqueries()
-        for i in range(held.size()):
-            walk(held.apply(i))
-
-    walk(plan)
-    own = {m.lower() for m in re.findall(r"(\w+)\s+AS\s*\(", text, re.I)}
-    if extra := names - {t.lower() for t in tables} - own:
+        if "UnresolvedWith" in kind:
+            for entry in each(node.cteRelations()):
+                walk(entry._2(), scope)
+                scope = scope | {entry._1().lower()}
+        else:
+            for part in each(node.innerChildren()):
+                walk(part, scope)
+        for e in each(node.expressions()):
+            expression(e, scope)
+        for part in each(node.children()):
+            walk(part, scope)
+        for part in each(node.subqueries()):
+            walk(part, scope)
+
+    walk(plan, frozenset())
+    if extra := names - {t.lower() for t in tables}:
         raise Refused(f"unknown tables {sorted(extra)}")
     return text
 

@@ -21,19 +21,22 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """``node, key`` to ``node, root``: nodes that share keys, directly or through others, get the smallest node.
 
-    Labels go from nodes to keys and back; both steps are minima with partial aggregation, so a key of very many
-    nodes costs no more than its rows. Rounds end when no label changes.
+    Labels go from nodes to keys and back, then each node takes the label of its label, so long chains halve with
+    every round; all steps are minima with partial aggregation, so a key of very many nodes costs no more than its
+    rows. Rounds end when no label changes.
     """
     pairs = settled(pairs.select("node", "key").distinct(), "component-pairs")
     labels = settled(pairs.select("node", F.col("node").alias("root")).distinct(), "component-labels")
-    for _ in range(most_rounds):
+    while True:
         by_key = pairs.join(labels, "node").groupBy("key").agg(F.min("root").alias("low"))
         lower = pairs.join(by_key, "key").groupBy("node").agg(F.min("low").alias("low"))
-        new = settled(labels.join(lower, "node").select("node", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved")), "component-labels")
+        near = labels.join(lower, "node").select("node", F.col("root").alias("old"), F.least("root", "low").alias("root"))
+        jump = near.select(F.col("node").alias("root"), F.col("root").alias("further"))
+        new = near.join(jump, "root", "left").select("node", F.least("root", "further").alias("root"), "old")
+        new = settled(new.select("node", "root", (F.col("root") < F.col("old")).alias("moved")), "component-labels")
         if new.filter("moved").isEmpty():
             return new.select("node", "root")
         labels = new.select("node", "root")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")

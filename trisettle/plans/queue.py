@@ -8,7 +8,7 @@ from trisettle.functions import scoring
 from trisettle.operators import exceptions, rules, settlements
 from trisettle.operators.shared import settled
 from trisettle.plans.matching import SUMS, TOL
-from trisettle.sources.harness import CTES, source
+from trisettle.sources.harness import CTES, derived, source
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -26,11 +26,13 @@ def query(sql: str | None = None):
 
 
 def findings(spark, sf_dir):
-    return exceptions.findings(*[source(spark, sf_dir, x) for x in ("gateway", "bank", "ledger")])
+    gateway, bank, ledger = derived(spark, sf_dir)
+    return exceptions.findings(gateway, settled(bank, "bank"), settled(ledger, "ledger"))
 
 
 def queue(spark, sf_dir):
-    return exceptions.queue(findings(spark, sf_dir), TODAY)
+    """The queue over findings written once: the sizes of clusters need them twice."""
+    return exceptions.queue(settled(findings(spark, sf_dir), "findings"), TODAY)
 
 
 FINDINGS = CTES + SUMS + """, cl AS (SELECT 'S' || batch AS settlement_id, amount_paise, txn_date FROM bank), lb AS (SELECT 'S' || batch AS settlement_id, count(*) AS n, min(amount_paise) AS amount_paise, min(txn_date) AS txn_date FROM ledger GROUP BY 1),

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from trisettle.plans import evidence, matching, queue, summaries, text, views
+from trisettle.plans import evidence, matching, queue, records, summaries, text, views
 
 QUERIES = {}
 ORACLE_SQL = {}
-for module in (matching, queue, evidence, summaries, text, views):
+for module in (matching, queue, evidence, records, summaries, text, views):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

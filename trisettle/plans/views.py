@@ -60,14 +60,14 @@ def near_references(spark, sf_dir):
  CASE WHEN b.amount_paise IS NULL THEN 'missing in bank' WHEN l.booked IS NULL THEN 'missing in books' WHEN l.n > 1 THEN 'booked twice' WHEN abs(b.amount_paise - a.expected_net_paise) <= 100 THEN 'settled' ELSE 'differs' END AS state
  FROM arith a LEFT JOIN bank b ON 'S' || b.batch = a.settlement_id LEFT JOIN (SELECT batch, sum(amount_paise)::BIGINT AS booked, count(*) AS n FROM ledger GROUP BY batch) l ON 'S' || l.batch = a.settlement_id""")
 def settlement_register(spark, sf_dir):
-    from trisettle.operators.settlements import arithmetic
+    from trisettle.operators.settlements import arithmetic, named
 
-    name = F.concat(F.lit("S"), F.col("batch").cast("string")).alias("settlement_id")
-    bank = source(spark, sf_dir, "bank").select(name, F.col("amount_paise").alias("bank_paise"))
-    books = source(spark, sf_dir, "ledger").groupBy(name).agg(F.sum("amount_paise").alias("ledger_paise"), F.count("*").alias("ledger_rows"))
+    gateway = source(spark, sf_dir, "gateway")
+    bank = named(source(spark, sf_dir, "bank"), gateway).select("settlement_id", F.col("amount_paise").alias("bank_paise"))
+    books = named(source(spark, sf_dir, "ledger"), gateway).groupBy("settlement_id").agg(F.sum("amount_paise").alias("ledger_paise"), F.count("*").alias("ledger_rows"))
     state = (F.when(F.col("bank_paise").isNull(), "missing in bank").when(F.col("ledger_paise").isNull(), "missing in books").when(F.col("ledger_rows") > 1, "booked twice")
              .when(F.abs(F.col("bank_paise") - F.col("expected_net_paise")) <= 100, "settled").otherwise("differs"))
-    rows = arithmetic(source(spark, sf_dir, "gateway")).join(bank, "settlement_id", "left").join(books, "settlement_id", "left")
+    rows = arithmetic(gateway).join(bank, "settlement_id", "left").join(books, "settlement_id", "left")
     return rows.select("settlement_id", "expected_net_paise", "bank_paise", "ledger_paise", "ledger_rows", state.alias("state"))
 
 

@@ -6,8 +6,12 @@ One text of integer SQL that Spark and DuckDB both run, so that both sides of a
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from trisettle.operators.shared import settled
+
 GATEWAY = """
 SELECT 'g' || lpad(cast(o.o_orderkey AS varchar(20)), 13, '0') || '-' || cast(x.l_linenumber AS varchar(5)) AS event_id,
        'gateway' AS source, x.amount AS amount_paise, 'credit' AS direction, cast(o.o_orderdate AS date) AS txn_date,
@@ -73,3 +77,12 @@ def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source(spark, sf_dir, "ev")
+
+
+def derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Gateway, bank and ledger rows; the gateway's are written once, the others derived from that table."""
+    gateway = settled(source(spark, sf_dir, "gateway"), "gateway")
+    view = f"gateway_{uuid.uuid4().hex}"
+    gateway.createOrReplaceTempView(view)
+    bank, ledger = (spark.sql(text.replace("FROM gateway", f"FROM {view}")) for text in (BANK, LEDGER))
+    return gateway, bank, ledger
