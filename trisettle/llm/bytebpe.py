@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from trisettle.llm.common import small_batches
 
 #: Bytes of pieces and ids, with what their objects take, that a Python worker remembers before it starts anew.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 96 << 20
 ENTRY_BYTES = 200
 #: A space beside other white space: there a text cannot be cut before each space.
 UNCUTTABLE = regex.compile(r"\s | \s")

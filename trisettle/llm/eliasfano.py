@@ -38,7 +38,7 @@ from trisettle.llm.common import shuffle_partitions, small_batches, written
 BLOCK_IDS = 1 << 20
 SAMPLE = 64
 #: Bytes of words and ids, with what their objects take, that a Python worker remembers before it starts anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 112 << 20
 ENTRY_BYTES = 170
 #: Most buckets of a corpus; cuts between them, 8 bytes each, and their starts, 16 bytes each, are all that is broadcast.
 MOST_BUCKETS = 100_000
