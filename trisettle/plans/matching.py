@@ -22,6 +22,7 @@ def query(sql: str | None = None):
     return add
 
 
+CELLS = """c AS (SELECT e.*, bucket // 3 + x AS amount_cell, (txn_date - DATE '1970-01-01') // 7 + y AS day_cell FROM e, (SELECT unnest([-1, 0, 1]) AS x), (SELECT unnest([-1, 0, 1]) AS y))"""
 BANKISH = "(upper(ledger_account) LIKE '%BANK%' OR upper(ledger_account) LIKE '%CASH%' OR upper(ledger_account) LIKE '%CURRENT A%') AND upper(ledger_account) NOT LIKE '%CHARGES%'"
 TOL = "greatest(100, cast(floor(abs(expected_net_paise) * 0.0005::DECIMAL(10,8)) AS BIGINT), n_txns)"
 SUMS = """, sums AS (SELECT settlement_id,
@@ -111,15 +112,15 @@ def prefix_completion(spark, sf_dir):
     return references.completions(bank.filter("length(utr) < 16").select(F.col("utr").alias("fragment")), gateway.select(F.col("utr").alias("value")))
 
 
-@query(CTES + """, e AS (SELECT event_id, source, amount_paise, cast(floor(amount_paise / 100000.0) AS BIGINT) AS bucket, txn_date FROM ev WHERE source <> 'gateway')
+@query(CTES + """, e AS (SELECT event_id, source, amount_paise, cast(floor(amount_paise / 100000.0) AS BIGINT) AS bucket, txn_date FROM ev WHERE source <> 'gateway'), """ + CELLS + """
  SELECT a.event_id AS left_id, a.source AS left_source, b.event_id AS right_id, b.source AS right_source, b.amount_paise - a.amount_paise AS delta_paise, b.txn_date - a.txn_date AS days
- FROM e a JOIN e b ON a.source < b.source AND abs(a.bucket - b.bucket) <= 2 AND abs(a.txn_date - b.txn_date) <= 6""")
+ FROM e a JOIN c b ON a.bucket // 3 = b.amount_cell AND (a.txn_date - DATE '1970-01-01') // 7 = b.day_cell AND a.source < b.source AND abs(a.bucket - b.bucket) <= 2 AND abs(a.txn_date - b.txn_date) <= 6""")
 def blocked_pairs(spark, sf_dir):
     return references.blocked_pairs(events(spark, sf_dir).filter("source <> 'gateway'"))
 
 
-@query(CTES + """, e AS (SELECT source, cast(floor(amount_paise / 100000.0) AS BIGINT) AS bucket, txn_date, batch FROM ev WHERE source <> 'gateway'),
- p AS (SELECT count(*) AS candidate_pairs FROM e a JOIN e b ON a.source < b.source AND abs(a.bucket - b.bucket) <= 2 AND abs(a.txn_date - b.txn_date) <= 6),
+@query(CTES + """, e AS (SELECT source, cast(floor(amount_paise / 100000.0) AS BIGINT) AS bucket, txn_date FROM ev WHERE source <> 'gateway'), """ + CELLS + """,
+ p AS (SELECT count(*) AS candidate_pairs FROM e a JOIN c b ON a.bucket // 3 = b.amount_cell AND (a.txn_date - DATE '1970-01-01') // 7 = b.day_cell AND a.source < b.source AND abs(a.bucket - b.bucket) <= 2 AND abs(a.txn_date - b.txn_date) <= 6),
  n AS (SELECT count(*) FILTER (source = 'bank') * count(*) FILTER (source = 'ledger') AS cross_pairs, cast(count(*) * (count(*) - 1) / 2 AS BIGINT) AS naive_pairs FROM e)
  SELECT naive_pairs, cross_pairs, candidate_pairs FROM n, p""")
 def blocking_statistics(spark, sf_dir):
