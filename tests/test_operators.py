@@ -172,3 +172,11 @@ def test_components_of_long_chains(spark):
     chain = [(f"n{k:05d}", f"k{k + j}") for k in range(1000) for j in (0, 1)]
     got = components(spark.createDataFrame([*chain, ("z", "alone")], "node string, key string")).collect()
     assert {(r.node, r.root) for r in got} == {(f"n{k:05d}", "n00000") for k in range(1000)} | {("z", "z")}
+
+
+def test_date_shifted_pairs(spark):
+    schema = "event_id string, amount_paise long, txn_date string, utr string"
+    bank = spark.createDataFrame([("b1", 500_000, "2024-01-03", "REF123"), ("b2", 500_000, "2024-01-09", "REF999"), ("b3", 70_000, "2024-01-03", "XY1234"), ("b4", 90_000, "2024-01-02", "LONGREF77"), ("b5", 1, "2024-01-02", None)], schema)
+    books = spark.createDataFrame([("l1", 500_050, "2024-01-01", "REF12345"), ("l2", 500_000, "2024-01-01", "REF99988"), ("l3", 70_000, "2024-01-02", "XY12345"), ("l4", 70_000, "2024-01-02", "XY12346"), ("l5", 90_000, "2024-01-01", "LONGREF"), ("l6", 500_000, "2024-01-02", "REF123")], schema)
+    dated = [x.withColumn("txn_date", F.to_date("txn_date")) for x in (bank, books)]
+    assert {tuple(r) for r in settlements.date_shifted(*dated).collect()} == {("b1", "l1", 2), ("b4", "l5", 1)}

@@ -108,3 +108,20 @@ def running_balance(bank: DataFrame, opening: int = 0) -> DataFrame:
     within = Window.partitionBy("txn_date").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     return bank.select("event_id", "txn_date", "amount_paise", F.sum("amount_paise").over(within).alias("so_far")).join(daily, "txn_date").select(
         "event_id", "txn_date", "amount_paise", (F.col("before") + F.col("so_far")).alias("closing_paise"))
+
+
+def date_shifted(bank: DataFrame, ledger: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Bank and ledger rows one to three days apart, amounts within tolerance, where one reference of six characters
+    or more is a beginning of the other and only one reference completes it; each row in one pair only.
+
+    Amounts meet on the logarithmic grid: a bank row spans the cells of its tolerance, a ledger row stands in one.
+    """
+    reach = tolerance(F.col("paid_paise"), F.lit(1), cfg)
+    paid = bank.filter("length(utr) >= 6").select(F.col("event_id").alias("bank_id"), F.col("amount_paise").alias("paid_paise"), F.col("txn_date").alias("paid_on"), F.col("utr").alias("paid_utr"))
+    paid = paid.withColumn("cell", F.explode(F.sequence(cell(F.col("paid_paise") - reach), cell(F.col("paid_paise") + reach))))
+    books = ledger.filter("length(utr) >= 6").select(F.col("event_id").alias("ledger_id"), "amount_paise", "txn_date", "utr", cell(F.col("amount_paise")).alias("cell"))
+    begins = (F.col("utr") != F.col("paid_utr")) & (F.startswith("utr", F.col("paid_utr")) | F.startswith("paid_utr", F.col("utr")))
+    days = F.abs(F.datediff("paid_on", "txn_date"))
+    pairs = paid.join(books, "cell").filter(begins & days.between(1, 3) & (F.abs(F.col("paid_paise") - F.col("amount_paise")) <= reach)).select("bank_id", "ledger_id", "utr", "paid_utr", days.alias("days"))
+    alone = lambda side, other: pairs.groupBy(side).agg(F.count("*").alias("n"), F.count_distinct(other).alias("k")).filter("n = 1 and k = 1").select(side)
+    return pairs.join(alone("bank_id", "utr"), "bank_id").join(alone("ledger_id", "paid_utr"), "ledger_id").select("bank_id", "ledger_id", "days")
