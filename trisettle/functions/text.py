@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from itertools import chain
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Length of a complete reference by rail; other rails have none.
 REFERENCE_LENGTH = {"neft": 16, "rtgs": 16, "imps": 12, "upi": 12}
@@ -110,3 +113,14 @@ def numbers_in(text: Column) -> Column:
 def grounded(prose: Column, facts: Column) -> Column:
     """Whether every number of a text is among the facts'."""
     return F.size(F.array_except(numbers_in(prose), numbers_in(facts))) == 0
+
+
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """NFKC, for which Spark has no function."""
+    return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def sanitised(name: str, longest: int = 500) -> Column:
+    """Text in its compatible form without control and format characters, at most ``longest`` code points."""
+    return F.substring(F.regexp_replace(compatible(F.col(name)), r"[\p{Cc}\p{Cf}]", ""), 1, longest)

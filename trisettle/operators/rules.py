@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trisettle.functions.money import per_line
+from trisettle.operators.shared import settled
 
 
 @dataclass(frozen=True)
@@ -159,3 +160,30 @@ STARTER = (
     Rule("tds", 1, 50, (Deduction("tds", "1.00"),)),
     Rule("commission", 1, 40, (Deduction("commission", "3.00"), Deduction("tcs", "1.00", "net"))),
 )
+
+
+def by_version(rules: Sequence[Rule], value) -> Column:
+    """A map literal from id:version to a value of the rule; a rulebook is a bounded configuration."""
+    return F.create_map(*[F.lit(x) for r in rules for x in (f"{r.id}:{r.version}", value(r))])
+
+
+def with_ceiling(explained: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Confidence of cases with no more than the least confidence of the rules applied to each; never raised."""
+    ceilings = by_version(rules, lambda r: Decimal(r.confidence))
+    least = F.array_min(F.transform("rules_applied", lambda r: ceilings[r])).cast("decimal(5,4)")
+    return explained.withColumn("confidence", F.least(F.col("confidence").cast("decimal(5,4)"), least))
+
+
+def replayed(cases: DataFrame, before: Sequence[Rule], after: Sequence[Rule], key: str) -> DataFrame:
+    """Cases explained otherwise under another rulebook: rules that no longer or newly explain, and what it changes.
+
+    Both rulebooks are applied to the same row, one after the other, so nothing is joined or shuffled. The folds are
+    written before the filter: Catalyst would otherwise push it below them and copy every step into the next.
+    """
+    old = apply_rules(cases, before).withColumnsRenamed({c: f"_{c}" for c in ("explained_paise", "residual_paise", "rules_applied", "fully_explained")})
+    names = ("residual_paise", "rules_applied", "fully_explained")
+    both = settled(apply_rules(old, after).select(key, *names, *[f"_{c}" for c in names]), "replayed")
+    gone, come = F.array_except("_rules_applied", "rules_applied"), F.array_except("rules_applied", "_rules_applied")
+    state = F.when(F.col("_fully_explained") & ~F.col("fully_explained"), "reopened").when(~F.col("_fully_explained") & F.col("fully_explained"), "closed").otherwise("same")
+    rows = both.select(key, F.array_join(gone, ",").alias("no_longer"), F.array_join(come, ",").alias("newly"), state.alias("state"), (F.col("residual_paise") - F.col("_residual_paise")).alias("residual_change"))
+    return rows.filter("no_longer <> '' or newly <> '' or state <> 'same' or residual_change <> 0")

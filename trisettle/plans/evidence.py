@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from trisettle.operators import settlements
 from trisettle.plans.matching import PAIRS, RESULT, SUMS, settlement_vs_bank_windowed
 from trisettle.plans.queue import FINDINGS, QUEUE, findings, queue
 from trisettle.sources.harness import CTES, events, source
@@ -24,8 +25,9 @@ def query(sql: str | None = None):
 
 @query(CTES + " SELECT event_id, settlement_id, amount_paise FROM gateway WHERE on_hold AND batch IN (SELECT batch FROM ledger)")
 def held_but_booked(spark, sf_dir):
-    booked = source(spark, sf_dir, "ledger").select("batch")
-    return source(spark, sf_dir, "gateway").filter("on_hold").join(booked, "batch", "left_semi").select("event_id", "settlement_id", "amount_paise")
+    gateway = source(spark, sf_dir, "gateway")
+    booked = settlements.named(source(spark, sf_dir, "ledger"), gateway).select("settlement_id")
+    return gateway.filter("on_hold").join(booked, "settlement_id", "left_semi").select("event_id", "settlement_id", "amount_paise")
 
 
 @query(FINDINGS + """, m AS (SELECT 'm' || batch AS match_id, list(event_id) AS ids FROM ev WHERE source <> 'gateway' GROUP BY batch HAVING count(*) > 1), x AS (SELECT f.subject, list(e.event_id) AS ids FROM found f JOIN ev e ON e.source <> 'gateway' AND 'S' || e.batch = f.subject GROUP BY f.subject)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trisettle.functions.scoring import tolerance_terms
 from trisettle.operators import references, settlements
-from trisettle.sources.harness import CTES, events, source
+from trisettle.sources.harness import CTES, derived, events, source
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -161,7 +161,8 @@ def running_balance(spark, sf_dir):
 @query(CTES + """, c AS (SELECT g.batch, length(b.utr) >= 16 AND b.amount_paise = s.net AS agreed FROM (SELECT DISTINCT batch FROM gateway) g JOIN (SELECT batch, sum(amount_paise) AS net FROM gateway GROUP BY batch) s ON s.batch = g.batch LEFT JOIN bank b ON b.batch = g.batch)
  SELECT CASE WHEN agreed IS NULL THEN 'no credit' WHEN agreed THEN 'agreed' ELSE 'open' END AS state, count(*) AS n FROM c GROUP BY 1""")
 def bank_coverage(spark, sf_dir):
-    net = source(spark, sf_dir, "gateway").groupBy("batch").agg(F.sum("amount_paise").alias("net"))
-    rows = net.join(source(spark, sf_dir, "bank").select("batch", "utr", "amount_paise"), "batch", "left")
+    gateway, bank, _ = derived(spark, sf_dir)
+    net = gateway.groupBy("settlement_id").agg(F.sum("amount_paise").alias("net"))
+    rows = net.join(settlements.named(bank, gateway).select("settlement_id", "utr", "amount_paise"), "settlement_id", "left")
     agreed = F.when(F.col("amount_paise").isNotNull(), F.coalesce(F.length("utr") >= 16, F.lit(None).cast("boolean")) & (F.col("amount_paise") == F.col("net")))
     return rows.groupBy(F.when(agreed.isNull(), "no credit").when(agreed, "agreed").otherwise("open").alias("state")).agg(F.count("*").alias("n"))

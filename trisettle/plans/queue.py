@@ -179,8 +179,9 @@ def rule_backtest(spark, sf_dir):
  m AS (SELECT sum(expected_net_paise) AS missing FROM arith WHERE settlement_id NOT IN (SELECT 'S' || batch FROM bank)), v AS (SELECT sum(a.expected_net_paise - b.amount_paise) AS variance FROM arith a JOIN bank b ON a.settlement_id = 'S' || b.batch)
  SELECT gross::BIGINT AS gross_paise, fee::BIGINT AS fee_paise, added::BIGINT AS additions_paise, net::BIGINT AS expected_paise, missing::BIGINT AS missing_paise, variance::BIGINT AS variance_paise, received::BIGINT AS received_paise, (net - missing - variance - received)::BIGINT AS unexplained_paise FROM g, m, v, b""")
 def cash_bridge(spark, sf_dir):
-    sums = settlements.arithmetic(source(spark, sf_dir, "gateway"))
-    bank = source(spark, sf_dir, "bank").select(F.concat(F.lit("S"), F.col("batch").cast("string")).alias("settlement_id"), F.col("amount_paise").alias("received"))
+    gateway, bank, _ = derived(spark, sf_dir)
+    sums = settlements.arithmetic(gateway)
+    bank = settlements.named(bank, gateway).select("settlement_id", F.col("amount_paise").alias("received"))
     rows = sums.join(bank, "settlement_id", "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
     out = rows.agg(total("gross_paise").alias("gross_paise"), total("fee_paise").alias("fee_paise"), total("additions_paise").alias("additions_paise"), total("expected_net_paise").alias("expected_paise"),
@@ -191,8 +192,10 @@ def cash_bridge(spark, sf_dir):
 @query(CTES + """, l AS (SELECT batch, sum(amount_paise) AS booked FROM ledger GROUP BY batch), x AS (SELECT coalesce(b.batch, l.batch) AS batch, coalesce(b.amount_paise, 0) AS bank, coalesce(l.booked, 0) AS books, b.batch IS NULL AS nb, l.batch IS NULL AS nl FROM bank b FULL OUTER JOIN l ON b.batch = l.batch)
  SELECT CASE WHEN nb THEN 'only in books' WHEN nl THEN 'only in bank' WHEN bank = books THEN 'agreed' WHEN books >= 2 * bank - 100 THEN 'booked twice' ELSE 'different amount' END AS bucket, count(*) AS n, sum(books - bank)::BIGINT AS difference_paise FROM x GROUP BY 1""")
 def books_against_bank(spark, sf_dir):
-    books = source(spark, sf_dir, "ledger").groupBy("batch").agg(F.sum("amount_paise").alias("books"))
-    rows = source(spark, sf_dir, "bank").select("batch", F.col("amount_paise").alias("bank")).join(books, "batch", "full_outer")
+    gateway, bank, ledger = derived(spark, sf_dir)
+    own = F.coalesce("settlement_id", "event_id").alias("own")  # a row that names no settlement stands alone
+    books = settlements.named(ledger, gateway).groupBy(own).agg(F.sum("amount_paise").alias("books"))
+    rows = settlements.named(bank, gateway).select(own, F.col("amount_paise").alias("bank")).join(books, "own", "full_outer")
     bank, book = F.coalesce("bank", F.lit(0)), F.coalesce("books", F.lit(0))
     bucket = F.when(F.col("bank").isNull(), "only in books").when(F.col("books").isNull(), "only in bank").when(bank == book, "agreed").when(book >= 2 * bank - 100, "booked twice").otherwise("different amount")
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(book - bank).cast("bigint").alias("difference_paise"))

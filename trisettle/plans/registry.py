@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from trisettle.plans import cascade, evidence, matching, queue, records, summaries, text, views
+from trisettle.plans import cascade, evidence, lifecycle, matching, queue, records, summaries, text, views
 
 QUERIES = {}
 ORACLE_SQL = {}
-for module in (cascade, matching, queue, evidence, records, summaries, text, views):
+for module in (cascade, matching, queue, evidence, lifecycle, records, summaries, text, views):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL

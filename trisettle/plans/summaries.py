@@ -66,6 +66,6 @@ def linked_residuals(spark, sf_dir):
  SELECT count(*) AS n, coalesce(sum(expected_net_paise), 0)::BIGINT AS at_risk_paise, min(due) AS first_due FROM risk""")
 def cash_at_risk(spark, sf_dir):
     gateway = source(spark, sf_dir, "gateway")
-    paid = source(spark, sf_dir, "bank").select(F.concat(F.lit("S"), F.col("batch").cast("string")).alias("settlement_id"))
+    paid = settlements.named(source(spark, sf_dir, "bank"), gateway).select("settlement_id")
     rows = settlements.arithmetic(gateway).join(paid, "settlement_id", "left_anti").join(gateway.filter("on_hold").select("settlement_id").distinct(), "settlement_id", "left_anti")
     return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("expected_net_paise"), F.lit(0)).alias("at_risk_paise"), F.min(F.date_add("first_date", 2)).alias("first_due"))

@@ -115,3 +115,8 @@ def export_audit(df: DataFrame, path: str, kind: str = "csv") -> None:
     """The audit log in sequence order, as CSV with a header or as JSON lines."""
     rows = df.repartitionByRange("seq").sortWithinPartitions("seq")
     (rows.write.option("header", True).csv(path) if kind == "csv" else rows.write.json(path))
+
+
+def register_csv(register: DataFrame, path: str, key: str = "settlement_id") -> None:
+    """The settlement register as CSV with a header, one line per settlement, in the order of its key by ranges."""
+    register.repartitionByRange(key).sortWithinPartitions(key).write.option("header", True).csv(path)

@@ -25,3 +25,13 @@ def sessions(events: DataFrame, gap: str, late: str | None = None) -> DataFrame:
 def ingest_once(stream: DataFrame, key: str, late: str = "6 days") -> DataFrame:
     """Rows of a stream once by key; keys are remembered for as long as matching looks back."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def matched_within(credits: DataFrame, books: DataFrame, days: int = 3) -> DataFrame:
+    """Bank credits with book rows of the same reference at most ``days`` days apart. As streams both sides wait twice
+    as long as a match may reach, so that their state is bounded; nothing later than that can match."""
+    late = f"{2 * days} days"
+    a = credits.withWatermark("ts", late).select(F.col("utr").alias("a_utr"), F.col("ts").alias("a_ts"), F.col("event_id").alias("credit_id"))
+    b = books.withWatermark("ts", late).select(F.col("utr").alias("b_utr"), F.col("ts").alias("b_ts"), F.col("event_id").alias("book_id"))
+    near = F.expr(f"a_utr = b_utr AND b_ts BETWEEN a_ts - INTERVAL {days} DAYS AND a_ts + INTERVAL {days} DAYS")
+    return a.join(b, near).select(F.col("a_utr").alias("utr"), "credit_id", "book_id", F.date_diff(F.to_date("b_ts"), F.to_date("a_ts")).alias("shift_days"))
