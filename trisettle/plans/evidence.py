@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trisettle.operators import settlements
+from trisettle.operators.shared import settled
 from trisettle.plans.matching import PAIRS, RESULT, SUMS, settlement_vs_bank_windowed
 from trisettle.plans.queue import FINDINGS, QUEUE, findings, queue
-from trisettle.sources.harness import CTES, events, source
+from trisettle.sources.harness import CTES, derived, events, source
 
 QUERIES = {}
 ORACLE_SQL = {}
@@ -33,9 +34,11 @@ def held_but_booked(spark, sf_dir):
 @query(FINDINGS + """, m AS (SELECT 'm' || batch AS match_id, list(event_id) AS ids FROM ev WHERE source <> 'gateway' GROUP BY batch HAVING count(*) > 1), x AS (SELECT f.subject, list(e.event_id) AS ids FROM found f JOIN ev e ON e.source <> 'gateway' AND 'S' || e.batch = f.subject GROUP BY f.subject)
  SELECT m.match_id, x.subject FROM m JOIN x ON 'm' || substr(x.subject, 2) = m.match_id AND list_has_any(m.ids, x.ids)""")
 def match_exception_overlap(spark, sf_dir):
-    rows = events(spark, sf_dir).filter("source <> 'gateway'")
-    matches = rows.groupBy("batch").agg(F.collect_list("event_id").alias("ids")).filter(F.size("ids") > 1).select(F.concat(F.lit("m"), F.col("batch").cast("string")).alias("match_id"), F.explode("ids").alias("event_id"))
-    own = findings(spark, sf_dir).join(rows.select(F.concat(F.lit("S"), F.col("batch").cast("string")).alias("subject"), "event_id"), "subject").select("subject", "event_id")
+    gateway, bank, ledger = derived(spark, sf_dir)
+    rows = settled(settlements.named(bank.unionByName(ledger), gateway).filter("settlement_id is not null").select("settlement_id", "event_id"), "named-rows")
+    members = rows.groupBy("settlement_id").agg(F.collect_list("event_id").alias("ids")).filter(F.size("ids") > 1)
+    matches = members.select(F.concat(F.lit("m"), F.substring("settlement_id", 2, 20)).alias("match_id"), F.explode("ids").alias("event_id"))
+    own = findings(spark, sf_dir).join(rows.withColumnRenamed("settlement_id", "subject"), "subject").select("subject", "event_id")
     return matches.join(own, "event_id").select("match_id", "subject").distinct()
 
 

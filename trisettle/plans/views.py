@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trisettle.operators import evaluate
+from trisettle.operators import evaluate, settlements
 from trisettle.plans.matching import SUMS
-from trisettle.sources.harness import CTES, events, source
+from trisettle.sources.harness import CTES, derived, events, source
 from trisettle.streaming import windows
 
 QUERIES = {}
@@ -127,7 +127,9 @@ def coverage_curve(spark, sf_dir):
 
 @query(CTES + """, m AS (SELECT batch, count(DISTINCT source) AS n_sources, count(*) AS n FROM ev GROUP BY batch) SELECT n_sources, count(*) AS groups, sum(n)::BIGINT AS events FROM m GROUP BY n_sources""")
 def source_coverage(spark, sf_dir):
-    groups = events(spark, sf_dir).groupBy("batch").agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n"))
+    gateway, bank, ledger = derived(spark, sf_dir)
+    rows = settlements.named(bank.unionByName(ledger), gateway).select("settlement_id", "source").unionByName(gateway.select("settlement_id", "source"))
+    groups = rows.groupBy("settlement_id").agg(F.count_distinct("source").alias("n_sources"), F.count("*").alias("n"))
     return groups.groupBy("n_sources").agg(F.count("*").alias("groups"), F.sum("n").alias("events"))
 
 
