@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trisettle.functions.text import sanitised
-from trisettle.operators import classify, lifecycle, rules, settlements
+from trisettle.operators import classify, exceptions, lifecycle, rules, settlements
 from trisettle.operators.shared import settled
 from trisettle.plans.queue import CASES, QUEUE, TODAY, cases, queue
+from trisettle.plans.records import MATCHES, named
 from trisettle.sources.harness import CTES, derived, events, source
 
 QUERIES = {}
@@ -149,3 +150,14 @@ def auto_counters(spark, sf_dir):
 def sanitised_narrations(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", F.concat(F.lit("\u200b"), "narration", F.lit("\x07")).alias("raw"))
     return rows.select("event_id", sanitised("raw").alias("narration"))
+
+
+@query(MATCHES + """, x AS (SELECT subject, 'new' AS run, status FROM q WHERE cast(substr(subject, 2) AS BIGINT) % 7 <> 0 UNION ALL SELECT subject, 'old', 'open' FROM q WHERE cast(substr(subject, 2) AS BIGINT) % 2 = 0)
+ SELECT event_id, run, status FROM (SELECT n.event_id, x.run, x.status, row_number() OVER (PARTITION BY n.event_id ORDER BY (x.status = 'open')::INT DESC, x.run) AS k FROM x JOIN named n ON n.settlement_id = x.subject) WHERE k = 1""")
+def open_exception_of_event(spark, sf_dir):
+    """One exception for each event out of two runs: an open one before any other, then the newer run's."""
+    number = F.substring("subject", 2, 20).cast("bigint")
+    found = settled(queue(spark, sf_dir).select("subject", "status"), "queue")
+    runs = found.filter(number % 7 != 0).select("subject", F.lit("new").alias("run"), "status").union(found.filter(number % 2 == 0).select("subject", F.lit("old"), F.lit("open")))
+    rows = named(spark, sf_dir).select("settlement_id", "event_id").join(runs, F.col("settlement_id") == F.col("subject"))
+    return exceptions.first_of(rows, ["event_id"], [(F.col("status") == "open").desc(), F.col("run")]).select("event_id", "run", "status")
