@@ -108,10 +108,29 @@ def load_rules(text: str) -> list[Rule]:
     return out
 
 
+SCOPE = ("amount_max", "amount_min", "counterparty", "date_from", "date_to", "method")
+
+
+def meaning(rule: Rule) -> str:
+    """Canonical text of what a rule does: its scope, its deductions in order and its tolerance; numbers without
+    trailing zeros. Priority, confidence, set and status say how it is used, so they are left out."""
+    plain = lambda rate: format(Decimal(rate).normalize(), "f")
+    parts = {
+        "scope": {k: getattr(rule, k) for k in SCOPE if getattr(rule, k) is not None},
+        "deductions": [{"type": d.type, "basis": d.basis, "rate": plain(d.rate), "fixed_paise": d.fixed_paise} for d in rule.deductions],
+        "tolerance": {"absolute_paise": rule.absolute_paise, "percent": plain(rule.percent)},
+    }
+    return json.dumps(parts, separators=(",", ":"), ensure_ascii=False)
+
+
 def version_hash(rule: Rule) -> str:
-    """SHA-256 of the canonical text of what a rule means; its set and status are left out."""
-    meaning = {k: str(v) for k, v in rule.__dict__.items() if k not in ("id", "version", "rule_set", "status")}
-    return hashlib.sha256(json.dumps(meaning, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    """SHA-256 of what a rule means."""
+    return hashlib.sha256(meaning(rule).encode()).hexdigest()
+
+
+def considered(rules: Sequence[Rule]) -> Column:
+    """How many active rules have a case in their scope."""
+    return sum((r.in_scope().cast("int") for r in rules if r.status == "active"), F.lit(0))
 
 
 def apply_rules(cases: DataFrame, rules: Sequence[Rule]) -> DataFrame:
