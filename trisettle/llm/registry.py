@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trisettle.llm import bytebpe, decontaminate, eliasfano, jaccard, language, pii, quality, secrets, sharding, suffixes
+from trisettle.llm import bytebpe, clustering, decontaminate, eliasfano, jaccard, language, lexical, neighbours, pii, quality, secrets, sharding, suffixes
 from trisettle.llm.common import table
 
 
@@ -53,6 +53,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_elkan_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_max_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op2_token_combination_join": op2_token_combination_join,
@@ -64,5 +76,8 @@ QUERIES = {
     "op4_elias_fano_ids": op4_elias_fano_ids,
     "op7_byte_bpe": op7_byte_bpe,
     "op10_rendezvous_sharding": op10_rendezvous_sharding,
+    "op11_elkan_clustering": op11_elkan_clustering,
+    "op12_graph_neighbours": op12_graph_neighbours,
+    "op13_max_tree_search": op13_max_tree_search,
 }
-ORACLE_SQL = {}
+ORACLE_SQL = {"op11_elkan_clustering": clustering.oracle(), "op13_max_tree_search": lexical.oracle()}
