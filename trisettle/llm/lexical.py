@@ -241,12 +241,13 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     index = written(blocks(outline, counts.documents, counts.total), "lexical-blocks")
     weights = written(weighted(terms, outline, counts.documents), "item-weights")
     groups = max(1, -(-weights.select("item_id").distinct().count() // ITEMS))
-    lanes = 2 * shuffle_partitions(spark)
+    lanes = shuffle_partitions(spark)
     by_item = weights.groupBy("item_id").agg(F.collect_list(F.struct("term", "weight")).alias("terms"))
     queries = (by_item.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(groups)).alias("part")).agg(F.collect_list(F.struct("item_id", "terms")).alias("items"))
                .withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))))
     sent = index.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = sent.join(queries.withColumn("part", F.col("part").cast("int")), ["part", "lane"]).select("part", "ids", "terms", "ends", "nodes", "tops", "items")
+    # merged, not broadcast: the queries stand once for every lane
+    pairs = sent.join(queries.withColumn("part", F.col("part").cast("int")).hint("merge"), ["part", "lane"]).select("part", "ids", "terms", "ends", "nodes", "tops", "items")
 
     def batches(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, items, found = None, [], []

@@ -1,15 +1,19 @@
 """Personal data: base patterns, and candidates judged by boosted trees.
 
 High-recall generators propose mail-like and number-like spans. Each has a few small integer features of its format
-and its context. Gradient boosted trees of depth two learn which candidates are personal data. What the base cannot
-see must not be taught as wrong, so the lessons are: candidates that overlap a base span, and the same ones written
-as the base would miss them (a mail with its sign spelled out, a phone with a trunk prefix for its country code), are
-right; other candidates are wrong, except spelled-out mails and numbers after a phone's cue, which are not taught at
-all. Their counterparts are wrong ones made of plain text: three words with a two-letter one for the sign, and plain
-numbers as if they followed a cue, both weighed like the rewritten ones; and cards and addresses that fail the base's
-own check. As features are bins, training needs only
-counts by feature vector, taken over all documents. Isotonic regression on held-out documents calibrates the score,
-and candidates of a calibrated probability of at least ``PRECISION`` are added as kind ``other``.
+and its context. Gradient boosted trees of depth two learn which candidates are personal data. There are no labelled
+spans, so the lessons are made from what the base is sure of and from plain text:
+
+* right: candidates that overlap a base span; every base mail with its sign and dots spelled out, with two and with three
+  parts; every base phone in a dozen local layouts, with and without a trunk zero, next to a phone's cue (``POSITIVE``);
+* wrong: other candidates, except spelled-out mails and phone-sized numbers next to a cue, of which nothing is known;
+  plain text with a two-letter word for the sign; spelled-out mails whose parts are no domain; the same local layouts
+  without a cue; and, from the phones' own digits, lists, ranges, years, sums and dates with and without a cue.
+
+As features are bins, training needs only counts by feature vector, taken over all documents. Isotonic regression on
+held-out documents calibrates the score for each form (how a mail's dots are written, how many groups a number has),
+equal scores pooled; candidates of a calibrated probability of at least ``PRECISION`` are added as kind ``other``. In a
+form that had no wrong rows to judge by nothing is added.
 """
 
 from __future__ import annotations
@@ -42,9 +46,18 @@ TIGHT = rf"^[A-Za-z0-9._%+-]+{SIGN}[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*"
 DECOY = MAIL_LIKE.replace(r" ?(?:@|\(at\)|\[at\]) ?", " [a-z]{2} ")
 DATE = r"^(?:[0-9]{4}[-/. ][0-9]{1,2}[-/. ][0-9]{1,2}|[0-9]{1,2}[-/. ][0-9]{1,2}[-/. ][0-9]{4})(?![0-9])"
 COUNTRY = r"^\+(?:[0-9]{1,3}(?=[ ().-])|[0-9]{2})[ .-]*"
-FEATURES = ("generator", "plus", "digits", "dots", "separators", "at", "octets", "cue", "left", "tail", "date", "luhn")
-ROUNDS, SHRINK, PRECISION = 20, 0.4, 0.9
-CANDIDATE = f"struct<s:int,e:int,{','.join(f'{x}:int' for x in (*FEATURES, 'local_digits', 'local_separators'))}>"
+#: A phone's cue, and where it stands right before the number.
+CUE = r"\b(?:tele?(?:phone|fon)?|phone|call|fax|mobile?|ring)\b"
+NEAR = rf"{CUE}(?: ?(?:me|us|at|on|no|number|under|nr))*[.:]* *$"
+FEATURES = ("generator", "plus", "digits", "groups", "equal", "short", "lead", "loose", "thousands", "years", "octets", "cue", "left", "date", "luhn", "at", "dots", "spelled", "labels", "tail")
+ROUNDS, SHRINK, PRECISION = 24, 0.4, 0.9
+CANDIDATE = f"struct<s:int,e:int,{','.join(f'{x}:int' for x in FEATURES)}>"
+#: How a mail's sign and dots may be written; cues and other words before a number.
+SIGNS = (" (at) ", "(at)", " [at] ", "[at]")
+DOTS = (".", " (dot) ", "(dot)", " [dot] ", "[dot]")
+COUNTRIES = ("de", "fr", "co.uk", "es")
+CUES = ("call ", "phone: ", "Tel. ", "tel ", "fax: ", "mobile ", "call me at ")
+OTHERS = ("the order ", "item no. ", "in ", "between ", "of about ", "page ")
 
 
 def digits(token: Column) -> Column:
@@ -82,32 +95,41 @@ def base(text: Column) -> dict[str, Column]:
 
 
 def features(m: Column, before: Column, generator: int) -> dict[str, Column]:
-    """The features of a candidate, and those that a number would have with a trunk prefix for its country code."""
+    """The features of a candidate."""
     zero = F.lit(0)
-    count = lambda text, pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    domain = F.regexp_replace(m, rf"^[A-Za-z0-9._%+-]+{SIGN}", "")
-    left, lower = F.substring(before, -1, 1), F.lower(before)
-    sized = lambda n: F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6)
-    parted = lambda text: F.when(count(text, "[ ()/-]") == 0, 0).when(count(text, "[ ()/-]") < 3, 1).otherwise(2)
-    n = F.length(digits(m))
-    local = F.regexp_replace(m, COUNTRY, "0")
-    mail = generator == 0
-    return {
-        "generator": F.lit(generator),
-        "plus": m.startswith("+").cast("int"),
-        "digits": zero if mail else sized(n),
-        "dots": F.least(count(domain, DOT) if not mail else F.size(F.split(domain, DOT, -1)) - 1, F.lit(4)),
-        "separators": zero if mail else parted(m),
-        "at": m.rlike("[^ ]@[^ ]").cast("int"),
-        "octets": F.when(m.rlike(OCTETS), 1).when(m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 2).otherwise(0),
-        "cue": F.when(lower.rlike("mail|contact"), 1).when(lower.rlike("tel|phone|call|fax|mobil"), 2).when(lower.rlike("card|visa|account|iban"), 3).when(lower.rlike("ip|host|server|addr"), 4).otherwise(0),
-        "left": F.when(left.rlike(r"^\s*$"), 0).when(left.rlike("[0-9]|\\p{L}"), 2).otherwise(1),
-        "tail": domain.rlike(rf"{DOT}[A-Za-z]{{2,24}}$").cast("int") if mail else zero,
-        "date": zero if mail else m.rlike(DATE).cast("int"),
-        "luhn": zero if mail else F.when(n.between(14, 19), luhn(digits(m)).cast("int")).otherwise(0),
-        "local_digits": zero if mail else sized(F.length(digits(local))),
-        "local_separators": zero if mail else parted(local),
-    }
+    lower = F.lower(before)
+    if generator == 0:
+        domain = F.regexp_replace(m, rf"^[A-Za-z0-9._%+-]+{SIGN}", "")
+        labels = F.split(domain, DOT, -1)
+        own = {
+            "at": m.rlike("[^ ]@[^ ]").cast("int"),
+            "dots": F.least(F.size(labels) - 1, F.lit(4)),
+            "spelled": F.when(domain.rlike(r"[(\[]dot[)\]]"), 2).when(domain.rlike(r" \. "), 3).when(F.contains(domain, F.lit(".")), 1).otherwise(0),
+            "labels": F.array_min(F.transform(labels, lambda x: F.least(F.length(x), F.lit(3)))),
+            "tail": domain.rlike(rf"{DOT}(?:[a-z]{{2,24}}|[A-Z]{{2,24}})$").cast("int"),
+            "cue": F.when(lower.rlike("mail|contact"), 1).otherwise(0),
+        }
+    else:
+        n = F.length(digits(m))
+        sizes = F.transform(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0)), lambda x: F.length(x))
+        own = {
+            "digits": F.when(n < 7, 0).when(n < 10, 1).when(n < 13, 2).when(n < 14, 3).when(n < 17, 4).when(n < 20, 5).otherwise(6),
+            "groups": F.least(F.size(sizes), F.lit(6)),
+            "equal": (F.size(F.array_distinct(sizes)) == 1).cast("int") * F.when(F.size(sizes) > 1, 1).otherwise(0),
+            "short": F.least(F.array_min(sizes), F.lit(4)),
+            "plus": m.startswith("+").cast("int"),
+            "lead": F.when(m.startswith("("), 2).when(m.startswith("0"), 1).otherwise(0),
+            "loose": m.rlike(r" [-/.]|[-/.] ").cast("int"),
+            "thousands": m.rlike(r"^[1-9][0-9]{0,2}(?:[ .][0-9]{3})+$").cast("int"),
+            "years": m.rlike(r"^(?:19|20)[0-9]{2}(?:[^0-9]+(?:19|20)[0-9]{2})+$").cast("int"),
+            "octets": F.when(m.rlike(OCTETS), 1).when(m.rlike(r"^[0-9]+(?:\.[0-9]+){3}$"), 2).otherwise(0),
+            "date": m.rlike(DATE).cast("int"),
+            "luhn": F.when(n.between(14, 19), luhn(digits(m)).cast("int")).otherwise(0),
+            "cue": F.when(lower.rlike(NEAR), 2).when(lower.rlike(CUE), 5).when(lower.rlike("card|visa|account|iban"), 3).when(lower.rlike("ip|host|server|addr"), 4).otherwise(0),
+        }
+    left = F.substring(before, -1, 1)
+    own |= {"generator": F.lit(generator), "left": F.when(left.rlike(r"^\s*$"), 0).when(left.rlike("[0-9]|\\p{L}"), 2).otherwise(1)}
+    return {name: own.get(name, zero) for name in FEATURES}
 
 
 def candidates(text: Column) -> Column:
@@ -123,23 +145,23 @@ def candidates(text: Column) -> Column:
 
 
 def decoys(text: Column) -> Column:
-    """Plain text as if a two-letter word in it were a mail's sign: how often (n) with what dots and tail."""
-
-    def code(m: Column) -> Column:
-        spelled = F.regexp_extract(F.regexp_replace(m, r"^([^ ]+) [a-z]{2} ", "$1 (at) "), TIGHT, 0)
-        own = lambda s: (lambda x: 2 * x["dots"] + x["tail"])(features(s, F.lit(" "), 0))
-        return F.when(m.rlike(r"^[^ ]+ [a-z]{2} .*[.\])]"), let(spelled, own)).otherwise(0)
+    """Plain text as if a two-letter word in it were a mail's sign: those that have dots, and how many have none."""
+    found = F.regexp_extract_all(text, F.lit(DECOY), F.lit(0))
 
-    def tallied(codes: Column) -> Column:
-        return F.transform(F.array_distinct(codes), lambda c: F.struct(c.alias("code"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
+    def sorted_out(all_: Column) -> Column:
+        dotted = F.filter(all_, lambda m: m.rlike(r"^[^ ]+ [a-z]{2} .*[.\])]"))
+        return F.struct((F.size(all_) - F.size(dotted)).alias("plain"), F.transform(dotted, lambda m: F.regexp_replace(m, r"^([^ ]+) [a-z]{2} ", "$1 (at) ")).alias("dotted"))
 
-    return let(F.transform(F.regexp_extract_all(text, F.lit(DECOY), F.lit(0)), code), tallied).cast("array<struct<code:int,n:int>>")
+    return let(found, sorted_out)
 
 
 def proposed(df: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """The base spans by kind, candidates and decoys of every row, beside the columns ``keep``."""
+    """The base spans by kind, candidates, and what lessons are made of (mails, phones, decoys), beside the columns ``keep``."""
     rows = df.select(F.col(key).alias("doc_id"), text_or_empty(text).alias("_text"), *keep)
-    return rows.select("doc_id", *keep, *[v.alias(k) for k, v in base(F.col("_text")).items()], candidates(F.col("_text")).alias("candidates"), decoys(F.col("_text")).alias("decoys"))
+    body = F.col("_text")
+    found = rows.select("doc_id", "_text", *keep, *[v.alias(k) for k, v in base(body).items()], candidates(body).alias("candidates"), decoys(body).alias("decoys"))
+    said = lambda spans: F.transform(spans, lambda x: F.substr(body, x["s"] + 1, x["e"] - x["s"]))
+    return found.select("doc_id", *keep, *KINDS[:4], "candidates", "decoys", said("email").alias("mails"), said("phone").alias("phones"))
 
 
 def overlaps(spans: Column, x: Column) -> Column:
@@ -148,7 +170,7 @@ def overlaps(spans: Column, x: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Trees (feature, cut, left node, right node; a float is a leaf) and the least margin for each generator."""
+    """Trees (feature, cut, left node, right node; a float is a leaf) and the least margin for each form."""
 
     trees: tuple
     margins: dict[int, float]
@@ -170,10 +192,15 @@ class Model:
         if not self.margins:
             return F.lit(False)
         total = sum((leaf(t) for t in self.trees), F.lit(0.0))
-        least = F.coalesce(*[F.when(x["generator"] == k, F.lit(v)) for k, v in sorted(self.margins.items())], F.lit(math.inf))
+        least = F.coalesce(*[F.when(form_of(x) == k, F.lit(v)) for k, v in sorted(self.margins.items())], F.lit(math.inf))
         return total >= least - 1e-9
 
 
+def form_of(x):
+    """The form of a candidate, of a row of counts or a Column: how a mail's dots are written, how many groups a number has."""
+    return 10 * x["generator"] + x["spelled"] + x["groups"]
+
+
 def grown(rows: list[tuple[dict, float, float]], depth: int):
     """A regression tree by Newton's steps over (features, gradient, curvature)."""
     g, h = sum(r[1] for r in rows), sum(r[2] for r in rows)
@@ -209,10 +236,17 @@ def boosted(counts: list[dict]) -> tuple:
     return tuple(trees)
 
 
-def calibrated(scored: list[tuple[float, int, int]], least: float) -> float | None:
-    """The lowest margin whose isotonic probability on (margin, yes, no) is at least ``least``."""
+def calibrated(scored: list[tuple[float, float, float]], least: float) -> float | None:
+    """The lowest margin whose isotonic probability on (margin, yes, no) is at least ``least``; rows of one margin are
+    one row. None if there is no such margin, or no wrong row at all to judge by."""
+    pooled: dict[float, list[float]] = defaultdict(lambda: [0.0, 0.0])
+    for margin, yes, no in scored:
+        pooled[round(margin, 9)][0] += yes
+        pooled[round(margin, 9)][1] += no
+    if not sum(no for _, no in pooled.values()):
+        return None
     blocks: list[list[float]] = []
-    for margin, yes, no in sorted(scored):
+    for margin, (yes, no) in sorted(pooled.items()):
         blocks.append([margin, yes, yes + no])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             _, yes, n = blocks.pop()
@@ -221,54 +255,101 @@ def calibrated(scored: list[tuple[float, int, int]], least: float) -> float | No
     return next((m for m, yes, n in blocks if yes >= least * n), None)
 
 
-def lessons(known: Column) -> Column:
-    """Rows to learn from: a candidate's features, ``yes`` and ``made`` (1: rewritten, 2: made of plain text, 3: failing
-    the base's check)."""
-    row = lambda x, yes, made, n=F.lit(1): x.withField("yes", yes).withField("made", F.lit(made)).withField("n", n)
-
-    def decoy(x: Column) -> Column:
-        values = {"dots": F.floor(x["code"] / 2).cast("int"), "tail": x["code"] % 2}
-        plain = F.struct(*[values.get(f.split(":")[0], F.lit(0)).alias(f.split(":")[0]) for f in CANDIDATE[7:-1].split(",")]).cast(CANDIDATE)
-        return row(plain, F.lit(False), 2, x["n"])
-
-    def taught(x: Column) -> Column:
-        yes = overlaps(known, x)
-        mail, no_plus = x["generator"] == 0, x["plus"] == 0
-        unseen = ~yes & ((mail & (x["at"] == 0)) | (~mail & no_plus & x["digits"].between(1, 3) & (x["cue"] == 2)))
-        spelled = x.withField("at", F.lit(0))
-        local = x.withField("plus", F.lit(0)).withField("digits", x["local_digits"]).withField("separators", x["local_separators"])
-        none = F.filter(F.array(row(x, yes, 0)), lambda _: F.lit(False))
-        return F.concat(
-            F.when(unseen, none).otherwise(F.array(row(x, yes, 0))),
-            F.when(yes & mail, F.array(row(spelled, F.lit(True), 1))).when(yes & ~mail & ~no_plus, F.array(row(local, F.lit(True), 1)))
-            .when(yes & (x["luhn"] == 1), F.array(row(x.withField("luhn", F.lit(0)), F.lit(False), 3)))
-            .when(yes & (x["octets"] == 1), F.array(row(x.withField("octets", F.lit(2)), F.lit(False), 3)))
-            .when(~yes & ~mail & no_plus & (x["cue"] == 0), F.array(row(x.withField("cue", F.lit(2)), F.lit(False), 2))).otherwise(none))
-
-    return F.concat(F.flatten(F.transform("candidates", taught)), F.transform("decoys", decoy))
+def made(text: Column, before: Column, right: bool) -> Column:
+    return F.struct(text.alias("m"), before.alias("before"), F.lit(right).alias("yes"))
+
+
+def pick(values: tuple[str, ...], key: Column, salt: int) -> Column:
+    return F.array(*map(F.lit, values))[F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(len(values))).cast("int")]
+
+
+def made_mails(mail: Column) -> Column:
+    """A base mail spelled out with two and three parts, and spelled out so that it is none."""
+    parts = F.split(F.regexp_extract(mail, "@(.*)$", 1), r"\.")
+    local, last, name = F.regexp_extract(mail, "^([^@]*)@", 1), F.element_at(parts, -1), F.element_at(parts, -2)
+    outer = F.when(F.size(parts) > 2, F.element_at(parts, -3)).otherwise(F.lit("mail"))
+    rows = []
+    for i, dot in enumerate(DOTS):
+        sign = pick(SIGNS, mail, i)
+        rows += [made(F.concat(local, sign, name, F.lit(dot), last), F.lit("to "), True), made(F.concat(local, sign, name, F.lit(dot), pick(COUNTRIES, mail, i)), F.lit("to "), True), made(F.concat(local, sign, outer, F.lit(dot), name, F.lit(dot), last), F.lit("to "), True),
+                 made(F.concat(local, sign, name, F.lit(dot + "5")), F.lit("to "), False), made(F.concat(local, sign, F.lit(f"a{dot}b{dot}"), last), F.lit("to "), False),
+                 made(F.concat(local, sign, F.substring(name, 1, 1), F.lit(dot), last), F.lit("to "), False)]
+    rows += [made(F.concat(local, pick(SIGNS, mail, 7), name), F.lit("to "), False), made(F.concat(local, pick(SIGNS, mail, 8), name, F.lit(" . "), last), F.lit("to "), False)]
+    return F.array(*rows)
+
+
+def made_numbers(phone: Column) -> Column:
+    """A base phone in local layouts next to a cue, and wrong rows of its digits: the layouts without a cue, and lists,
+    ranges, years, sums and dates with and without one."""
+    n = F.regexp_replace(digits(F.regexp_replace(phone, COUNTRY, "")), "^0+", "")
+    cut = lambda a, size=None: F.substring(n, a, size if size else 20)
+    join = lambda sep, *parts: F.concat(*[x for p in parts for x in (F.lit(sep), p)][1:])
+    zero = F.lit("0")
+    layouts = [F.concat(zero, n), join(" ", F.concat(zero, cut(1, 3)), cut(4)), join("/", F.concat(zero, cut(1, 3)), cut(4)), join("-", F.concat(zero, cut(1, 2)), cut(3, 4), cut(7)), join(" ", F.concat(zero, cut(1, 2)), cut(3, 4), cut(7)),
+               join("-", F.concat(zero, cut(1, 3)), cut(4, 3), cut(7)), F.concat(F.lit("(0"), cut(1, 2), F.lit(") "), cut(3, 3), F.lit("-"), cut(6)), F.concat(F.lit("(0"), cut(1, 3), F.lit(") "), cut(4)),
+               join("-", cut(1, 3), cut(4, 3), cut(7)), F.concat(F.lit("("), cut(1, 3), F.lit(") "), cut(4, 3), F.lit("-"), cut(7, 4)), join(" ", cut(1, 3), cut(4, 3), cut(7)), join(".", cut(1, 3), cut(4, 3), cut(7)), join("-", cut(1, 3), cut(4, 4))]
+    two, four = lambda i: F.concat(F.lit("20"), cut(i, 2)), lambda i: F.concat(F.lit("1"), cut(i, 3))
+    tens = [F.concat(F.lit(str(k)), cut(k, 1)) for k in range(1, 7)]
+    hundreds = [F.concat(F.lit(str(k)), cut(k, 2)) for k in range(1, 6)]
+    lists = [join(" ", *tens[:5]), join(" ", *tens), join("-", *tens[:4]), join(" ", *hundreds[:3]), join(" ", *hundreds), join("/", *hundreds[:3]), join(" ", two(1), two(3)), join("-", two(1), two(3)), join(" ", two(1), two(3), two(5)), join(" ", two(1), two(3), two(5), two(7)),
+             join(" - ", four(1), four(4)), join(" - ", four(1), four(3), four(5)), join(" - ", F.concat(zero, cut(1, 3)), cut(4, 4)), join(" ", F.lit("1"), cut(1, 3), cut(4, 3)), join(".", F.concat(F.lit("1"), cut(1, 2)), cut(3, 3), cut(6, 3)), join(" ", cut(1, 2), F.lit("000"), F.lit("000")),
+             join("-", two(1), F.lit("03"), cut(3, 2)), join(" ", *[four(i) for i in (1, 2, 3)]), join(" ", *[F.concat(F.lit(str(k)), cut(k, 4)) for k in (1, 2)]), join(" - ", F.concat(cut(1, 2), F.lit(".5")), F.concat(cut(3, 2), F.lit(".75"))), join(" / ", cut(1, 3), cut(4, 4))]
+    rows = []
+    for i, layout in enumerate(layouts):
+        rows += [made(layout, pick(CUES, phone, i), True), made(layout, pick(OTHERS, phone, i), False)]
+    for i, values in enumerate(lists):
+        rows += [made(values, pick(CUES, phone, 20 + i), False), made(values, pick(OTHERS, phone, 50 + i), False), made(values, F.lit("call me in "), False)]
+    return F.filter(F.array(*rows), lambda x: F.regexp_extract(x["m"], NUMBER_LIKE, 0) == x["m"])
+
+
+def lessons(found: DataFrame) -> DataFrame:
+    """Counts (yes, no) by held, made (1: made of base spans, 2: of plain text) and FEATURES."""
+    held = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")
+    known = F.concat(*KINDS[:4])
+
+    def taught(k: Column) -> Column:
+        def known_nothing_of(x: Column) -> Column:
+            return ((x["generator"] == 0) & (x["at"] == 0)) | ((x["generator"] == 1) & (x["plus"] == 0) & x["digits"].between(1, 3) & (x["cue"] == 2))
+
+        rows = F.transform("candidates", lambda x: x.withField("yes", overlaps(k, x)).withField("made", F.lit(0)))
+        failing = F.filter(rows, lambda x: x["yes"] & ((x["luhn"] == 1) | (x["octets"] == 1)))
+        failed = F.transform(failing, lambda x: x.withField("luhn", F.lit(0)).withField("octets", F.when(x["octets"] == 1, 2).otherwise(x["octets"])).withField("yes", F.lit(False)))
+        return F.concat(F.filter(rows, lambda x: x["yes"] | ~known_nothing_of(x)), failed)
+
+    real = found.filter(F.size("candidates") > 0).select(held, F.explode(let(known, taught)).alias("x")).select("held", "x.made", *[F.col(f"x.{f}") for f in FEATURES], F.col("x.yes").cast("double").alias("yes"), (~F.col("x.yes")).cast("double").alias("no"))
+    parts = [real]
+    for column, generator, make in (("mails", 0, made_mails), ("phones", 1, made_numbers)):
+        rows = found.filter(F.size(column) > 0).select(held, F.explode(column).alias("one")).select("held", F.explode(make(F.col("one"))).alias("x"))
+        said = F.regexp_extract("x.m", TIGHT, 0) if generator == 0 else F.col("x.m")
+        parts.append(rows.select("held", F.lit(1).alias("made"), *[v.alias(k) for k, v in features(said, F.col("x.before"), generator).items()], F.col("x.yes").cast("double").alias("yes"), (~F.col("x.yes")).cast("double").alias("no")))
+    plain = found.select(held, F.filter(F.array(F.struct(F.lit("a (at) the").alias("m"), F.col("decoys.plain").cast("double").alias("n"))), lambda x: x["n"] > 0).alias("none"), F.transform("decoys.dotted", lambda m: F.struct(m.alias("m"), F.lit(1.0).alias("n"))).alias("some"))
+    rows = plain.select("held", F.explode(F.concat("none", "some")).alias("x"))
+    parts.append(rows.select("held", F.lit(2).alias("made"), *[v.alias(k) for k, v in features(F.regexp_extract("x.m", TIGHT, 0), F.lit("to "), 0).items()], F.lit(0.0).alias("yes"), F.col("x.n").alias("no")))
+    counts = [p.groupBy("held", "made", *FEATURES).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")) for p in parts]
+    every = counts[0]
+    for other in counts[1:]:
+        every = every.unionByName(other)
+    return every
 
 
 def fit(found: DataFrame) -> Model:
     """Train on two of three documents by hash and calibrate on the third; only counts by feature vector, bounded by
-    the product of the bins, reach the driver."""
-    held = (F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0).alias("held")
-    known = F.concat("email", "ip", "card", "phone")
-    rows = found.filter((F.size("candidates") > 0) | (F.size("decoys") > 0)).select(held, F.explode(let(known, lessons)).alias("x"))
-    counts = [r.asDict() for r in rows.groupBy("held", *[f"x.{f}" for f in FEATURES], "x.made").agg(F.sum(F.when(F.col("x.yes"), F.col("x.n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("x.yes"), 0).otherwise(F.col("x.n"))).alias("no")).collect()]
+    the product of the bins, reach the driver. Decoys of plain text weigh no more together than what was made of mails."""
+    counts = [r.asDict() for r in lessons(found).collect()]
     counts.sort(key=lambda c: (c["held"], c["made"], *[c[f] for f in FEATURES]))
-    totals = defaultdict(int)
+    totals = defaultdict(float)
     for c in counts:
         totals[c["held"], c["generator"], c["made"]] += c["yes"] + c["no"]
     for c in counts:
         if c["made"] == 2:
-            c["no"] *= min(1.0, totals[c["held"], c["generator"], 1] / totals[c["held"], c["generator"], 2])
+            c["no"] *= min(1.0, totals[c["held"], 0, 1] / totals[c["held"], 0, 2])
     trees = boosted([c for c in counts if not c["held"]])
     model = Model(trees, {})
     margins = {}
-    for generator in (0, 1):
-        least = calibrated([(model.margin(c), c["yes"], c["no"]) for c in counts if c["held"] and c["generator"] == generator and c["yes"] + c["no"] > 0], PRECISION)
+    for form in sorted({form_of(c) for c in counts}):
+        least = calibrated([(model.margin(c), c["yes"], c["no"]) for c in counts if c["held"] and form_of(c) == form and c["yes"] + c["no"] > 0], PRECISION)
         if least is not None:
-            margins[generator] = least
+            margins[form] = least
     return Model(trees, margins)
 
 
@@ -298,7 +379,7 @@ def summary(found: DataFrame) -> DataFrame:
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with every span replaced by its kind; a null text stays null. Texts are searched twice, once to count
     candidates and once to redact, so that no text is shuffled."""
-    model = fit(proposed(df, key, text))
+    model = fit(written(proposed(df, key, text), "pii-candidates"))
     columns = df.columns
     kept = F.struct(*[F.col(c) for c in columns]).alias("_row")
     rows = df.select(key, text, kept)
