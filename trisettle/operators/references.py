@@ -49,11 +49,16 @@ def trusted_references(events: DataFrame, full_utr: int = 16) -> DataFrame:
     return events.select("event_id", F.inline(F.array_distinct(F.array_compact(facts))))
 
 
-def exact_reference_groups(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def reference_roots(events: DataFrame) -> DataFrame:
+    """``node, root``: events that share trusted references, directly or through others; keys are 64-bit hashes."""
+    facts = trusted_references(events).select(F.col("event_id").alias("node"), F.xxhash64("field", "value", "side").alias("key"))
+    return components(facts)
+
+
+def exact_reference_groups(events: DataFrame, cfg: Config = DEFAULT, roots: DataFrame | None = None) -> DataFrame:
     """Events joined by shared references, where two sources or more meet and the bank leg agrees with the gateway
     side (else the ledger side) within tolerance: group_id (smallest event), n_events, n_sources, delta_paise."""
-    facts = trusted_references(events).select(F.col("event_id").alias("node"), F.concat_ws("|", "field", "value", "side").alias("key"))
-    roots = components(facts)
+    roots = reference_roots(events) if roots is None else roots
     rows = events.withColumn("signed", bank_signed()).join(roots, F.col("event_id") == F.col("node"))
     side = lambda name: F.sum(F.when(F.col("source") == name, F.col("signed")))
     groups = rows.groupBy(F.col("root").alias("group_id")).agg(
@@ -91,4 +96,4 @@ def blocked_pairs(events: DataFrame, bucket_paise: int = 100_000, buckets: int =
         (F.col("b.amount_paise") - F.col("a.amount_paise")).alias("delta_paise"), (F.col("b.day") - F.col("a.day")).alias("days"))
 
 
-__all__ = ["bank_signed", "blocked_pairs", "completions", "exact_reference_groups", "is_bank_account", "order_side", "reconcilable", "settled", "trusted_references"]
+__all__ = ["bank_signed", "blocked_pairs", "completions", "exact_reference_groups", "is_bank_account", "order_side", "reconcilable", "reference_roots", "settled", "trusted_references"]

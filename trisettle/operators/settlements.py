@@ -83,14 +83,32 @@ def three_way(groups: DataFrame, ledger: DataFrame) -> DataFrame:
         "credit_id", "settlement_id", "n_legs", F.when(F.col("n_legs") == 1, F.col("leg")).alias("ledger_id"), F.when(F.col("n_legs") == 1, F.col("leg_paise")).alias("ledger_paise"))
 
 
+def nearest_beyond(left: DataFrame, right: DataFrame, by: str, day: str, more_than_days: int) -> DataFrame:
+    """For each distinct (``by``, ``day``) of left the right row of the same value that is nearest among those more than
+    so many days before or after: right_id and days; ties go to the smaller id. ``right`` has event_id. Rows without a value or day have none and are none.
+
+    Two as-of joins by ordered windows. Both sides are first reduced to distinct values and days, with the smallest
+    right id of each, so a value that a third of all rows share is no more rows than it has days.
+    """
+    marks = right.filter(F.col(by).isNotNull() & F.col(day).isNotNull()).groupBy(by, day).agg(F.min("event_id").alias("right_id")).select(by, F.col(day).alias("at"), F.struct(F.col(day).alias("right_day"), "right_id").alias("mark"), F.lit(None).cast("date").alias("asked"))
+    asked = left.filter(F.col(by).isNotNull() & F.col(day).isNotNull()).select(by, day).distinct()
+
+    def probe(shift: int) -> DataFrame:
+        """The last mark at or before ``shift`` days from each asked day, looking backwards in time if it is negative."""
+        rows = marks.unionByName(asked.select(by, F.date_add(day, shift).alias("at"), F.lit(None).cast(marks.schema["mark"].dataType).alias("mark"), F.col(day).alias("asked")))
+        time = F.col("at") if shift < 0 else F.desc("at")
+        upto = Window.partitionBy(by).orderBy(time, F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("mark", F.last("mark", ignorenulls=True).over(upto)).filter("asked is not null and mark is not null").select(by, F.col("asked").alias(day), F.abs(F.datediff("mark.right_day", "asked")).alias("days"), "mark.right_id")
+
+    both = probe(-more_than_days - 1).unionByName(probe(more_than_days + 1))
+    return both.groupBy(by, day).agg(F.min(F.struct("days", "right_id")).alias("x")).select(by, day, "x.right_id", "x.days")
+
+
 def nearest_opposite(left: DataFrame, right: DataFrame, more_than_days: int = 3) -> DataFrame:
     """For each left row the right row of the same amount that is nearest among those further off than the window;
     ties go to the smaller event."""
-    a = left.select(F.col("event_id").alias("left_id"), "amount_paise", F.col("txn_date").alias("left_date"))
-    b = right.select(F.col("event_id").alias("right_id"), "amount_paise", F.col("txn_date").alias("right_date"))
-    days = F.abs(F.datediff("right_date", "left_date"))
-    best = F.min(F.struct(days.alias("days"), "right_id"))
-    return a.join(b, "amount_paise").filter(days > more_than_days).groupBy("left_id").agg(best.alias("x")).select("left_id", "x.right_id", "x.days")
+    near = nearest_beyond(left, right, "amount_paise", "txn_date", more_than_days)
+    return left.select(F.col("event_id").alias("left_id"), "amount_paise", "txn_date").join(near, ["amount_paise", "txn_date"]).select("left_id", "right_id", "days")
 
 
 def duplicate_legs(ledger: DataFrame) -> DataFrame:
@@ -110,18 +128,24 @@ def running_balance(bank: DataFrame, opening: int = 0) -> DataFrame:
         "event_id", "txn_date", "amount_paise", (F.col("before") + F.col("so_far")).alias("closing_paise"))
 
 
-def date_shifted(bank: DataFrame, ledger: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def shift_pairs(bank: DataFrame, ledger: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Bank and ledger rows one to three days apart, amounts within tolerance, where one reference of six characters
-    or more is a beginning of the other and only one reference completes it; each row in one pair only.
+    or more is a beginning of the other.
 
-    Amounts meet on the logarithmic grid: a bank row spans the cells of its tolerance, a ledger row stands in one.
+    Amounts meet on the logarithmic grid: a bank row spans the cells of its tolerance and the days around it, a ledger
+    row stands in one cell on one day.
     """
     reach = tolerance(F.col("paid_paise"), F.lit(1), cfg)
     paid = bank.filter("length(utr) >= 6").select(F.col("event_id").alias("bank_id"), F.col("amount_paise").alias("paid_paise"), F.col("txn_date").alias("paid_on"), F.col("utr").alias("paid_utr"))
-    paid = paid.withColumn("cell", F.explode(F.sequence(cell(F.col("paid_paise") - reach), cell(F.col("paid_paise") + reach))))
+    paid = paid.withColumn("cell", F.explode(F.sequence(cell(F.col("paid_paise") - reach), cell(F.col("paid_paise") + reach)))).withColumn("txn_date", F.explode(F.array(*[F.date_add("paid_on", k) for k in (-3, -2, -1, 1, 2, 3)])))
     books = ledger.filter("length(utr) >= 6").select(F.col("event_id").alias("ledger_id"), "amount_paise", "txn_date", "utr", cell(F.col("amount_paise")).alias("cell"))
     begins = (F.col("utr") != F.col("paid_utr")) & (F.startswith("utr", F.col("paid_utr")) | F.startswith("paid_utr", F.col("utr")))
     days = F.abs(F.datediff("paid_on", "txn_date"))
-    pairs = paid.join(books, "cell").filter(begins & days.between(1, 3) & (F.abs(F.col("paid_paise") - F.col("amount_paise")) <= reach)).select("bank_id", "ledger_id", "utr", "paid_utr", days.alias("days"))
+    return paid.join(books, ["cell", "txn_date"]).filter(begins & (F.abs(F.col("paid_paise") - F.col("amount_paise")) <= reach)).select("bank_id", "ledger_id", "utr", "paid_utr", "paid_paise", days.alias("days"))
+
+
+def date_shifted(bank: DataFrame, ledger: DataFrame, cfg: Config = DEFAULT, pairs: DataFrame | None = None) -> DataFrame:
+    """The shifted pairs where only one reference completes the other; each row in one pair only."""
+    pairs = shift_pairs(bank, ledger, cfg) if pairs is None else pairs
     alone = lambda side, other: pairs.groupBy(side).agg(F.count("*").alias("n"), F.count_distinct(other).alias("k")).filter("n = 1 and k = 1").select(side)
     return pairs.join(alone("bank_id", "utr"), "bank_id").join(alone("ledger_id", "paid_utr"), "ledger_id").select("bank_id", "ledger_id", "days")

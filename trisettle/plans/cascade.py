@@ -18,25 +18,26 @@ def query(f):
 
 
 def members(spark, sf_dir):
-    """Every claimed row with its group, and all rows, each written once; the harness's key is not handed on."""
+    """The cascade's result over the three sources, each written once; the harness's key is not handed on."""
     gateway, bank, ledger = (settled(x.drop("batch"), "cascade-source") for x in derived(spark, sf_dir))
     every = gateway.unionByName(bank).unionByName(ledger)
-    return cascade.cascade(every)
+    return cascade.run(every)
 
 
 @query
 def cascade_members(spark, sf_dir):
-    return members(spark, sf_dir)[0]
+    return members(spark, sf_dir).members
 
 
 @query
 def cascade_closed(spark, sf_dir):
     """Matches that close by themselves, by stage of their first proof."""
-    claimed = settled(members(spark, sf_dir)[0], "cascade-members")
-    return cascade.closable(claimed).join(claimed.select("match_id", "stage"), "match_id").groupBy("match_id").agg(F.min("stage").alias("stage"), F.count("*").alias("n_events"))
+    done = members(spark, sf_dir)
+    claimed = done.members
+    return cascade.closable(claimed, refused=done.refusals).join(claimed.select("match_id", "stage"), "match_id").groupBy("match_id").agg(F.min("stage").alias("stage"), F.count("*").alias("n_events"))
 
 
 @query
 def cascade_left(spark, sf_dir):
     """Rows that no stage claimed, by source."""
-    return members(spark, sf_dir)[1].groupBy("source").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount_paise"))
+    return members(spark, sf_dir).left.groupBy("source").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount_paise"))

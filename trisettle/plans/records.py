@@ -327,13 +327,12 @@ def extended_groups(spark, sf_dir):
                                         F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("members"))
 
 
-@query(CTES + """ SELECT b.event_id AS bank_id, min(l.event_id) AS ledger_id, count(*) AS n FROM bank b JOIN ledger l ON b.amount_paise = l.amount_paise AND abs(b.txn_date - l.txn_date) BETWEEN 1 AND 3
- AND length(b.utr) >= 6 AND starts_with(l.utr, b.utr) AND l.utr <> b.utr GROUP BY b.event_id HAVING count(DISTINCT l.utr) = 1""")
+@query(CTES + """, p AS (SELECT b.event_id AS bank_id, l.event_id AS ledger_id, l.utr, b.utr AS cut, abs(b.txn_date - l.txn_date)::INT AS days FROM bank b JOIN ledger l ON abs(b.txn_date - l.txn_date) BETWEEN 1 AND 3
+ AND abs(b.amount_paise - l.amount_paise) <= greatest(100, cast(floor(abs(b.amount_paise) * 0.0005::DECIMAL(10,8)) AS BIGINT), 1) AND length(b.utr) >= 6 AND length(l.utr) >= 6 AND l.utr <> b.utr AND (starts_with(l.utr, b.utr) OR starts_with(b.utr, l.utr)))
+ SELECT bank_id, ledger_id, days FROM p WHERE bank_id IN (SELECT bank_id FROM p GROUP BY 1 HAVING count(*) = 1) AND ledger_id IN (SELECT ledger_id FROM p GROUP BY 1 HAVING count(*) = 1)""")
 def date_shift_pairs(spark, sf_dir):
-    """Bank rows whose cut reference one ledger reference of the amount completes, one to three days apart."""
-    b = source(spark, sf_dir, "bank").filter("length(utr) >= 6").select(F.col("event_id").alias("bank_id"), "amount_paise", F.col("txn_date").alias("paid"), F.col("utr").alias("cut"))
-    rows = source(spark, sf_dir, "ledger").select("event_id", "amount_paise", "txn_date", "utr").join(b, "amount_paise").filter("abs(datediff(paid, txn_date)) between 1 and 3 and startswith(utr, cut) and utr <> cut")
-    return rows.groupBy("bank_id").agg(F.min("event_id").alias("ledger_id"), F.count("*").alias("n"), F.count_distinct("utr").alias("k")).filter("k = 1").drop("k")
+    """The cascade's date-shift stage over all bank and ledger rows: cut references that one other row completes."""
+    return settlements.date_shifted(source(spark, sf_dir, "bank"), source(spark, sf_dir, "ledger"))
 
 
 @query(QUEUE + f" SELECT subject, category, status, CASE WHEN status NOT IN ('open', 'monitoring', 'snoozed', 'escalated') THEN status WHEN deadline < DATE '{TODAY}' THEN 'escalated' WHEN category = 'missing_in_bank' THEN 'snoozed' ELSE status END AS next_status FROM q")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from trisettle.plans import cascade, evidence, lifecycle, matching, proofs, queue, records, summaries, text, views
+from trisettle.plans import accuracy, cascade, evidence, lifecycle, matching, proofs, queue, records, summaries, text, views
 
 QUERIES = {}
 ORACLE_SQL = {}
-for module in (cascade, matching, queue, evidence, lifecycle, proofs, records, summaries, text, views):
+for module in (accuracy, cascade, matching, queue, evidence, lifecycle, proofs, records, summaries, text, views):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
