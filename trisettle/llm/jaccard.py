@@ -44,6 +44,8 @@ SLICE = 500
 EVEN = np.uint64(0xFFFFFFFFFFFFFFFE)
 #: Bits of the filter that spares most documents a second look; one document sets one bit.
 FILTER_BITS = 1 << 22
+#: The same for rows that may be spare: 131,072 words, which are broadcast.
+ROW_BITS = 1 << 23
 
 
 def needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -309,6 +311,26 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     order = F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))
     first = keyed.select("_row", order.alias("order")).distinct().join(groups, "_row").groupBy("group").agg(F.min(F.struct("order", "_row", "n")).alias("first"))
     kept = written(first.select("first._row", "first.n"), "kept-rows")
-    single = keyed.join(kept.filter("n = 1").select("_row"), "_row", "left_semi")
-    repeated = keyed.join(kept.filter("n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
-    return single.unionByName(repeated).select(*docs.columns)
+    # most rows stay: a bitmap of those that may not spares the others a join, which would shuffle their texts
+    doubtful = groups.join(kept.filter("n = 1").select("_row"), "_row", "left_anti").select("_row")
+    keyed = keyed.withColumn("_word", word_of("_row")).join(F.broadcast(bitmap(doubtful, "_row")), "_word", "left")
+    may_go = F.coalesce(F.getbit("_bits", bit_of("_row")), F.lit(0)) == 1
+    rest = keyed.filter(may_go)
+    single = rest.join(kept.filter("n = 1").select("_row"), "_row", "left_semi")
+    repeated = rest.join(kept.filter("n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
+    return keyed.filter(~may_go).unionByName(single).unionByName(repeated).select(*docs.columns)
+
+
+def word_of(key: str) -> Column:
+    return F.floor(F.pmod(F.col(key), F.lit(ROW_BITS)) / 64).cast("int")
+
+
+def bit_of(key: str) -> Column:
+    return F.pmod(F.col(key), F.lit(64)).cast("int")
+
+
+def bitmap(rows: DataFrame, key: str) -> DataFrame:
+    """``_word`` and its ``_bits``: each row sets one of ``ROW_BITS`` bits by its 64-bit key, so the table has at most
+    ``ROW_BITS`` / 64 rows whatever it is made of."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(key))
+    return written(rows.select(word_of(key).alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits")), "row-bitmap")
