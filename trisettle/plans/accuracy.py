@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trisettle.config import DEFAULT
-from trisettle.operators import cascade, classify, evaluate, legs, references
+from trisettle.operators import cascade, classify, evaluate, learner, legs, paging, references, replay
 from trisettle.operators.shared import settled
 from trisettle.sources import corpus
 
@@ -157,3 +159,77 @@ def cascade_gates(spark, sf_dir):
     right, wrong, missed = (value["pairs", k] for k in ("true_positive", "false_positive", "false_negative"))
     gates = [("no_mixed_close", value["closed", "mixed"] == 0, float(value["closed", "mixed"])), ("precision", right >= 0.99 * (right + wrong), right / max(right + wrong, 1)), ("recall", right >= 0.9 * (right + missed), right / max(right + missed, 1))]
     return spark.createDataFrame(gates, "gate string, passed boolean, value double")
+
+
+#: Findings of group refusals in SQL, a row for each event; {pct} is the tolerance of the exact stage and of its legs.
+FOUND = LEGS.replace("0.0005", "{pct}") + """, ev AS (SELECT match_id, 'duplicate_ledger_entry' AS category, event_id FROM sig WHERE alike > 1 UNION SELECT s.match_id, o.category, s.event_id FROM sig s JOIN odd2 o USING (match_id) WHERE o.category = 'amount_variance' OR s.sized > 1
+ UNION SELECT match_id, 'duplicate_ledger_entry', event_id FROM member JOIN rival USING (match_id) UNION SELECT match_id, 'duplicate_ledger_entry', ledger_id FROM w JOIN rival USING (match_id) UNION SELECT match_id, 'ambiguous_multi_candidate', event_id FROM member JOIN both_want USING (match_id)
+ UNION SELECT match_id, 'ambiguous_multi_candidate', ledger_id FROM w JOIN both_want USING (match_id) UNION SELECT match_id, 'missing_in_ledger', event_id FROM member JOIN none_found USING (match_id)),
+ f AS (SELECT e.match_id, e.category, count(*) AS n_events, string_agg(e.event_id, ',' ORDER BY e.event_id) AS ids, any_value(r.amount)::BIGINT AS amount FROM ev e JOIN refused r ON r.match_id = e.match_id AND r.category = e.category GROUP BY 1, 2)
+ SELECT * FROM f"""
+#: The later run's tolerance: wide enough to explain some gaps.
+LATER_PCT = "0.02"
+BOTH_RUNS = f"WITH a AS ({FOUND.replace('{pct}', '0.0005')}), b AS ({FOUND.replace('{pct}', LATER_PCT)})"
+
+
+def findings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Group findings of two runs over the corpus: by the usual tolerance, and by a wider one."""
+    events = corpus.rows(spark, sf_dir)
+
+    def run(rows: DataFrame, cfg) -> DataFrame:
+        roots = settled(references.reference_roots(rows), "reference-roots")
+        groups = references.exact_reference_groups(rows, cfg, roots)
+        members = settled(roots.join(groups.select(F.col("group_id").alias("root")), "root").select(F.col("root").alias("match_id"), F.col("node").alias("event_id")), "exact-members")
+        free = rows.filter("source = 'ledger'").join(members.select("event_id"), "event_id", "left_anti")
+        return legs.resolve(members, rows, free, cfg)[1].select(F.col("refusal_id").alias("finding"), "event_id", "category", "amount_paise")
+
+    return settled(run(events, DEFAULT), "findings"), settled(run(events, replace(DEFAULT, tolerance_pct=LATER_PCT)), "findings")
+
+
+@query(BOTH_RUNS + """ SELECT coalesce(split_part(a.ids, ',', 1), split_part(b.ids, ',', 1)) AS first_event, coalesce(a.n_events, b.n_events) AS n_events, CASE WHEN a.ids IS NULL THEN 'added' WHEN b.ids IS NULL THEN 'removed' WHEN a.category = b.category AND a.amount = b.amount THEN 'same' ELSE 'changed' END AS state,
+ CASE WHEN a.ids = b.ids THEN nullif(concat_ws('; ', CASE WHEN a.category <> b.category THEN 'category ' || a.category || ' -> ' || b.category END, CASE WHEN a.amount <> b.amount THEN 'amount_paise ' || a.amount || ' -> ' || b.amount END), '') END AS why FROM a FULL JOIN b ON a.ids = b.ids""")
+def replay_changes(spark, sf_dir):
+    """What a wider tolerance changes about the findings, by the sets of their rows."""
+    return replay.diff(*findings(spark, sf_dir)).select("first_event", "n_events", "state", "why")
+
+
+@query(BOTH_RUNS + """, d AS (SELECT ids, CASE WHEN amount % 2 = 0 THEN 'resolved' ELSE 'written_off' END AS status FROM a WHERE amount % 5 <> 0)
+ SELECT split_part(b.ids, ',', 1) AS first_event, b.category, coalesce(d.status, 'open') AS status, d.status IS NOT NULL AS carried FROM b LEFT JOIN d USING (ids)""")
+def replay_decisions(spark, sf_dir):
+    """Decisions of the earlier run in the later one; which were decided follows from the earlier amounts."""
+    before, after = findings(spark, sf_dir)
+    made = before.groupBy("finding").agg(F.min("amount_paise").alias("amount")).select("finding", F.when(F.col("amount") % 5 == 0, "open").when(F.col("amount") % 2 == 0, "resolved").otherwise("written_off").alias("status"))
+    now, _ = replay.carried(replay.diff(before, after), made)
+    later = after.groupBy("finding").agg(F.min("event_id").alias("first_event"), F.min("category").alias("category"))
+    return now.join(later, "finding").select("first_event", "category", "status", "carried")
+
+
+#: Short settlements as people resolved them, and the rules that were live then.
+HISTORY = """ SELECT b.event_id AS exception_id, CASE WHEN n.k % 9 = 0 THEN 'unknown' ELSE 'amount_variance' END AS category, CASE WHEN n.sc = 17 THEN 'commission' ELSE 'rate_change' END AS resolution_category, 'party ' || cast(n.k % 3 AS varchar(2)) AS counterparty, b.rail, 'bank' AS source,
+ b.amount_paise, n.net - b.amount_paise AS gap_paise, n.net AS gross_paise, n.day AS on_date FROM nets n JOIN bank b ON b.event_id = 'b' || n.sid WHERE n.sc IN (17, 18)"""
+LIVE = " SELECT 'party 1' AS counterparty, cast(NULL AS varchar(10)) AS rail, cast(NULL AS date) AS date_from, cast(NULL AS date) AS date_to UNION ALL SELECT cast(NULL AS varchar(10)), 'rtgs', DATE '1997-01-01', cast(NULL AS date)"
+
+
+@query(corpus.CTES + f""", h AS ({HISTORY}), live AS ({LIVE}), c AS (SELECT *, sha256(concat_ws(chr(31), category, counterparty, rail, CASE WHEN abs(amount_paise) < 100000 THEN '<1k' WHEN abs(amount_paise) < 1000000 THEN '1k-10k' WHEN abs(amount_paise) < 10000000 THEN '10k-1L' WHEN abs(amount_paise) < 100000000 THEN '1L-10L' ELSE '>10L' END,
+  (half // 2) || (CASE WHEN half % 2 = 1 THEN '.5' ELSE '' END) || '-' || ((half + 1) // 2) || (CASE WHEN half % 2 = 0 THEN '.5' ELSE '' END) || '%')) AS signature, cast(round(cast(abs(gap_paise) * 100 AS DECIMAL(38,10)) / abs(gross_paise), 2) AS DECIMAL(12,2)) AS rate,
+  EXISTS (SELECT 1 FROM live WHERE coalesce(live.counterparty, h2.counterparty) = h2.counterparty AND coalesce(live.rail, h2.rail) = h2.rail AND (live.date_from IS NULL OR h2.on_date >= live.date_from)) AS covered
+  FROM (SELECT *, abs(gap_paise) * 200 // abs(gross_paise) AS half FROM h WHERE category <> 'unknown' AND gap_paise <> 0) h2),
+ g AS (SELECT signature, resolution_category, count(*) AS occurrences, bool_and(covered) AS known, quantile_disc(rate, 0.5) AS rate FROM c GROUP BY 1, 2)
+ SELECT 'learned_' || g.resolution_category || '_' || substr(g.signature, 1, 12) AS rule_id, g.occurrences, g.rate::DOUBLE AS rate_percent, max(abs(abs(c.gap_paise) - cast(round(abs(c.gross_paise) * g.rate / 100, 0) AS BIGINT))) AS tolerance_paise, arg_min(c.counterparty, c.exception_id) AS counterparty, min(c.on_date) AS effective_from
+ FROM g JOIN c USING (signature, resolution_category) WHERE g.occurrences >= 3 AND NOT g.known GROUP BY ALL""")
+def rule_drafts(spark, sf_dir):
+    """Rules that the learner drafts from the resolutions of short settlements."""
+    corpus.register(spark, sf_dir, "orders", "lineitem")
+    history = settled(spark.sql(corpus.CTES + HISTORY), "resolutions")
+    found = learner.drafts(history, spark.sql(LIVE))
+    return found.select("rule_id", "occurrences", F.col("rate_percent").cast("double").alias("rate_percent"), "tolerance_paise", "counterparty", "effective_from")
+
+
+@query(corpus.CTES + " SELECT event_id, amount_paise FROM bank WHERE direction = 'credit' ORDER BY amount_paise DESC, event_id LIMIT 2000 OFFSET 2000")
+def bank_page(spark, sf_dir):
+    """The second page of the largest credits, by the cursor of the first."""
+    rows = corpus.rows(spark, sf_dir).filter("source = 'bank' and direction = 'credit'").select("event_id", "amount_paise")
+    keys = (("amount_paise", "desc"), ("event_id", "asc"))
+    first = paging.page(rows, keys, paging.MOST)
+    after = rows.filter(paging.beyond(keys, paging.decode(first.next_cursor, 2))) if first.next_cursor else rows.limit(0)
+    return after.orderBy(F.desc("amount_paise"), "event_id").limit(paging.MOST)
