@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trisettle.functions import text
 from trisettle.functions.money import per_line
 from trisettle.operators.shared import settled
 
@@ -42,29 +43,39 @@ class Rule:
     confidence: str = "0.95"
     status: str = "active"
     rule_set: str = "default"
+    source: str | None = None
+    rail: str | None = None
+    #: Any of these, after the same normalisation as the case's party; any of these in the narration, in either case.
+    counterparties: tuple[str, ...] | None = None
+    narrations: tuple[str, ...] | None = None
+    #: When the rule holds, as against which cases it is about.
+    effective_from: str | None = None
+    effective_to: str | None = None
 
     @property
     def specificity(self) -> int:
-        return sum(x is not None for x in (self.method, self.counterparty, self.amount_min, self.amount_max, self.date_from, self.date_to))
-
-    def in_scope(self) -> Column:
-        """Whether a case (method, counterparty, gross_paise, on_date) is in the rule's scope and dates."""
-        tests = [F.lit(True)]
-        if self.method is not None:
-            tests.append(F.col("method") == self.method)
-        if self.counterparty is not None:
-            tests.append(F.col("counterparty") == self.counterparty)
-        if self.amount_min is not None:
-            tests.append(F.col("gross_paise") >= self.amount_min)
-        if self.amount_max is not None:
-            tests.append(F.col("gross_paise") <= self.amount_max)
-        if self.date_from is not None:
-            tests.append(F.col("on_date") >= F.lit(self.date_from).cast("date"))
-        if self.date_to is not None:
-            tests.append(F.col("on_date") <= F.lit(self.date_to).cast("date"))
-        out = tests[0]
-        for t in tests[1:]:
-            out = out & t
+        """How many clauses the scope has; when the rule holds is none."""
+        return sum(x is not None for x in (self.method, self.counterparty, self.amount_min, self.amount_max, self.date_from, self.date_to, self.source, self.rail, self.counterparties, self.narrations))
+
+    def in_scope(self, as_of: Column | None = None) -> Column:
+        """Whether a case (method, counterparty, gross_paise, on_date, and source, rail, narration where a clause asks
+        for them) meets all clauses, and the rule holds ``as_of`` that day, the case's own unless given. A clause about
+        something that the case does not have is not met."""
+        case = F.col("on_date")
+        day = case if as_of is None else as_of
+        date = lambda day_text: F.lit(day_text).cast("date")
+        party = text.normalise_counterparty(F.col("counterparty"))
+        clauses = {
+            "method": lambda v: F.col("method") == v, "counterparty": lambda v: F.col("counterparty") == v, "amount_min": lambda v: F.col("gross_paise") >= v, "amount_max": lambda v: F.col("gross_paise") <= v,
+            "date_from": lambda v: case >= date(v), "date_to": lambda v: case <= date(v), "source": lambda v: F.col("source") == v, "rail": lambda v: F.col("rail") == v,
+            "counterparties": lambda v: F.array_contains(F.array(*[text.normalise_counterparty(F.lit(x)) for x in v]), party),
+            "narrations": lambda v: F.exists(F.array(*[F.lit(x.upper()) for x in v]), lambda x: F.contains(F.upper("narration"), x)),
+            "effective_from": lambda v: day >= date(v), "effective_to": lambda v: day <= date(v),
+        }
+        out = F.lit(True)
+        for name, test in clauses.items():
+            if (value := getattr(self, name)) is not None:
+                out = out & test(value)
         return F.coalesce(out, F.lit(False))
 
     def lines(self, gross: Column) -> dict[str, Column]:
@@ -88,27 +99,67 @@ def candidate_order(rules: Sequence[Rule]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-r.priority, -r.specificity, -r.version, r.id))
 
 
-def load_rules(text: str) -> list[Rule]:
-    """Rules from JSON with exact decimals; unknown keys, unknown bases and stacks above the gross are refused."""
+# Names of deductions in rate cards, and what the rulebook calls them.
+ALIASES = {"tax": "gst_on_fee", "gst": "gst_on_fee", "gst_on_commission": "gst_on_fee", "tds": "tds_194o", "tds_194_o": "tds_194o", "tcs": "custom", "rolling_reserve": "reserve"}
+
+
+def chained(lines: Sequence[Deduction], aliases: dict[str, str] | None = None) -> tuple[Deduction, ...]:
+    """The lines of one rule by their canonical names, if their bases form a chain.
+
+    A line may build on ``gross``, ``net`` or a line before it. One that builds on itself or on a line that builds on
+    it is a cycle, one that builds on a later line is out of order, and a name that is given twice would hide the first;
+    all are refused, as are negative numbers and lines that take more than the gross."""
+    names = aliases or {}
+    canonical = lambda name: names.get(name.strip().lower(), name)
+    lines = tuple(Deduction(canonical(d.type), d.rate, canonical(d.basis), d.fixed_paise) for d in lines)
+    at = {d.type: i for i, d in enumerate(lines)}
+    if len(at) < len(lines) or {"gross", "net"} & set(at):
+        raise ValueError("a line is named twice")
+    for i, d in enumerate(lines):
+        if Decimal(d.rate) < 0 or d.fixed_paise < 0:
+            raise ValueError(f"{d.type} is negative")
+        seen, basis = {d.type}, d.basis
+        while basis not in ("gross", "net"):
+            if basis not in at:
+                raise ValueError(f"basis {basis} of {d.type} is no line")
+            if basis in seen:
+                raise ValueError(f"{d.type} builds on itself through {basis}")
+            seen.add(basis)
+            basis = lines[at[basis]].basis
+        if d.basis in at and at[d.basis] >= i:
+            raise ValueError(f"{d.type} builds on the later line {d.basis}")
+    if sum(Decimal(d.rate) for d in lines if d.basis in ("gross", "net")) > 100:
+        raise ValueError("deductions exceed the gross")
+    return lines
+
+
+def load_rules(source_text: str, aliases: dict[str, str] | None = None) -> list[Rule]:
+    """Rules from JSON with exact decimals; unknown keys and stacks that do not chain (``chained``) are refused. With
+    ``aliases`` lines may go by the names of rate cards."""
     out = []
-    for entry in json.loads(text, parse_float=Decimal):
+    for entry in json.loads(source_text, parse_float=Decimal):
         lines = []
         for d in entry.pop("deductions"):
             if extra := set(d) - {"type", "rate", "basis", "fixed_paise"}:
                 raise ValueError(f"unknown keys {sorted(extra)}")
-            d = Deduction(d["type"], str(d.get("rate", "0")), d.get("basis", "gross"), int(d.get("fixed_paise", 0)))
-            if d.basis not in {"gross", "net", *[x.type for x in lines]}:
-                raise ValueError(f"basis {d.basis} is no earlier line")
-            lines.append(d)
-        if sum(Decimal(d.rate) for d in lines if d.basis in ("gross", "net")) > 100:
-            raise ValueError("deductions exceed the gross")
+            lines.append(Deduction(d["type"], str(d.get("rate", "0")), d.get("basis", "gross"), int(d.get("fixed_paise", 0))))
         if extra := set(entry) - set(Rule.__dataclass_fields__):
             raise ValueError(f"unknown keys {sorted(extra)}")
-        out.append(Rule(deductions=tuple(lines), **entry))
+        entry |= {k: tuple(entry[k]) for k in ("counterparties", "narrations") if entry.get(k) is not None}
+        out.append(Rule(deductions=chained(lines, aliases), **entry))
     return out
 
 
-SCOPE = ("amount_max", "amount_min", "counterparty", "date_from", "date_to", "method")
+def first_rule(cases: DataFrame, rules: Sequence[Rule], as_of: Column | None = None) -> DataFrame:
+    """``cases`` with n_rules, the active rules whose clauses each meets, and rule, the first of them in candidate
+    order as id:version. A rulebook is a configuration; its rules are unrolled into expressions, nothing is joined."""
+    live = candidate_order([r for r in rules if r.status == "active"])
+    hits = [r.in_scope(as_of) for r in live]
+    first = F.coalesce(*[F.when(h, F.lit(f"{r.id}:{r.version}")) for h, r in zip(hits, live, strict=True)], F.lit(None).cast("string"))
+    return cases.withColumns({"n_rules": sum((h.cast("int") for h in hits), F.lit(0)), "rule": first})
+
+
+SCOPE = ("amount_max", "amount_min", "counterparties", "counterparty", "date_from", "date_to", "method", "narrations", "rail", "source")
 
 
 def meaning(rule: Rule) -> str:

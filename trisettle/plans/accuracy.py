@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trisettle.config import DEFAULT
-from trisettle.operators import cascade, classify, evaluate, learner, legs, paging, references, replay
+from trisettle.functions import text
+from trisettle.operators import cascade, classify, evaluate, learner, legs, paging, references, replay, rules
 from trisettle.operators.shared import settled
 from trisettle.sources import corpus
 
@@ -233,3 +234,33 @@ def bank_page(spark, sf_dir):
     first = paging.page(rows, keys, paging.MOST)
     after = rows.filter(paging.beyond(keys, paging.decode(first.next_cursor, 2))) if first.next_cursor else rows.limit(0)
     return after.orderBy(F.desc("amount_paise"), "event_id").limit(paging.MOST)
+
+
+def _patterns() -> str:
+    return ", ".join(f"CASE WHEN regexp_matches(narration, '{p}') THEN '{k}' END" for k, p in text.INJECTIONS.items())
+
+
+@query(corpus.CTES + f", s AS (SELECT event_id, list_filter([{_patterns()}], lambda x: x IS NOT NULL) AS hits FROM corpus WHERE narration IS NOT NULL) SELECT event_id, array_to_string(hits, ',') AS hits FROM s WHERE len(hits) > 0")
+def injected_narrations(spark, sf_dir):
+    """Narrations that carry instructions to their reader, by all patterns."""
+    rows = corpus.rows(spark, sf_dir).select("event_id", F.array_join(text.injection_hits(F.col("narration")), ",").alias("hits"))
+    return rows.filter("hits <> ''")
+
+
+#: A rulebook that uses every clause.
+BOOK = (
+    rules.Rule("gateway_neft", 1, 90, (rules.Deduction("fee", "1"),), source="bank", rail="neft", counterparties=("Gateway Payments",)),
+    rules.Rule("gateway_large", 1, 90, (rules.Deduction("fee", "1"),), source="bank", counterparties=("Gateway Payments", "Other"), amount_min=20_000_000, amount_max=40_000_000, date_from="1995-01-01", date_to="1996-12-31"),
+    rules.Rule("direct", 2, 80, (rules.Deduction("fee", "1"),), narrations=("direct buyer", "counter")), rules.Rule("direct", 1, 80, (rules.Deduction("fee", "1"),), narrations=("DIRECT",), effective_to="1994-12-31"),
+    rules.Rule("upi", 1, 80, (rules.Deduction("fee", "1"),), method="upi", source="gateway"), rules.Rule("late", 1, 70, (rules.Deduction("fee", "1"),), effective_from="1997-06-01"), rules.Rule("off", 9, 99, (rules.Deduction("fee", "1"),), status="draft"),
+)
+
+
+@query(corpus.CTES + """, r AS (SELECT *, [CASE WHEN source = 'bank' AND upper(counterparty) = 'GATEWAY PAYMENTS' AND amount_paise BETWEEN 20000000 AND 40000000 AND txn_date BETWEEN DATE '1995-01-01' AND DATE '1996-12-31' THEN 'gateway_large:1' END,
+  CASE WHEN source = 'bank' AND rail = 'neft' AND upper(counterparty) = 'GATEWAY PAYMENTS' THEN 'gateway_neft:1' END, CASE WHEN method = 'upi' AND source = 'gateway' THEN 'upi:1' END, CASE WHEN contains(upper(narration), 'DIRECT BUYER') OR contains(upper(narration), 'COUNTER') THEN 'direct:2' END,
+  CASE WHEN contains(upper(narration), 'DIRECT') AND txn_date <= DATE '1994-12-31' THEN 'direct:1' END, CASE WHEN txn_date >= DATE '1997-06-01' THEN 'late:1' END] AS hits FROM corpus)
+ SELECT event_id, len(list_filter(hits, lambda x: x IS NOT NULL))::INT AS n_rules, list_filter(hits, lambda x: x IS NOT NULL)[1] AS rule FROM r""")
+def scoped_rules(spark, sf_dir):
+    """Every row with the rules of a book whose clauses it meets, and the first by priority, clauses and version."""
+    cases = corpus.rows(spark, sf_dir).withColumnsRenamed({"amount_paise": "gross_paise", "txn_date": "on_date"})
+    return rules.first_rule(cases, BOOK).select("event_id", "n_rules", "rule")

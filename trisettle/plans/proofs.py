@@ -188,10 +188,13 @@ MEANINGS = {
 }
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS rule_id, sha256('{v}') AS version_hash" for k, v in MEANINGS.items()))
+@query(CTES + ", meant AS (" + " UNION ALL ".join(f"SELECT '{k}' AS rule_id, sha256('{v}') AS version_hash, {m} AS method" for (k, v), m in zip(MEANINGS.items(), ("'card'", "'upi'", "'netbanking'", "NULL", "NULL"), strict=True)) + """)
+ SELECT m.rule_id, m.version_hash, g.method, count(*) AS n FROM gateway g JOIN meant m ON m.method IS NULL OR m.method = g.method GROUP BY ALL""")
 def rule_version_hashes(spark, sf_dir):
-    """Hashes of what the starter rules mean; the rulebook is a configuration of five."""
-    return spark.createDataFrame([(r.id, rules.version_hash(r)) for r in rules.STARTER], "rule_id string, version_hash string")
+    """Gateway rows in the scope of each version of the starter rules, versions named by the hash of what they mean."""
+    book = spark.createDataFrame([(r.id, rules.version_hash(r), m) for r in rules.STARTER for m in ([r.method] if r.method else ["card", "upi", "netbanking", "wallet"])], "rule_id string, version_hash string, method string")
+    counts = source(spark, sf_dir, "gateway").groupBy("method").agg(F.count("*").alias("n"))
+    return counts.join(book, "method").select("rule_id", "version_hash", "method", "n")
 
 
 @query(QUEUE + """ SELECT 'false_auto' AS gate, count(*) FILTER (tier = 'auto' AND NOT explained) = 0 AS passed FROM q UNION ALL SELECT 'never_auto', count(*) FILTER (tier = 'auto' AND category = 'duplicate_ledger_entry') = 0 FROM q

@@ -95,6 +95,15 @@ def deadline_window(spark, sf_dir):
     return queue(spark, sf_dir).filter((F.col("status") == "open") & F.col("deadline").between(now, F.date_add(now, 2))).select("subject", "deadline")
 
 
+@query(QUEUE + """, due AS (SELECT subject, deadline, amount_paise, unnest([deadline - 2, deadline - 1, deadline]) AS today FROM q WHERE status = 'open' AND deadline IS NOT NULL)
+ SELECT today, count(*) AS n, sum(amount_paise)::BIGINT AS amount_paise, min(subject) AS first_subject FROM due GROUP BY today""")
+def deadline_calendar(spark, sf_dir):
+    """For every day on which something open falls due within two days: how many, and what they are worth."""
+    rows = queue(spark, sf_dir).filter("status = 'open' and deadline is not null")
+    days = rows.withColumn("today", F.explode(F.array(F.date_sub("deadline", 2), F.date_sub("deadline", 1), F.col("deadline"))))
+    return days.groupBy("today").agg(F.count("*").alias("n"), F.sum("amount_paise").alias("amount_paise"), F.min("subject").alias("first_subject"))
+
+
 @query(QUEUE + " SELECT subject, amount_paise FROM q WHERE amount_paise < 20000000 OR (amount_paise = 20000000 AND subject < 'S5') ORDER BY amount_paise DESC, subject DESC LIMIT 51")
 def exception_page(spark, sf_dir):
     return exceptions.page(queue(spark, sf_dir).select("subject", "amount_paise"), "amount_paise", "subject", 50, (20_000_000, "S5"))

@@ -175,11 +175,13 @@ def historical_cases(spark, sf_dir):
     return queue(spark, sf_dir).filter("status = 'resolved'").join(first, "subject", "left").select("subject", "category", "amount_paise", "first_event")
 
 
-@query("SELECT 100050::BIGINT AS gross_paise, 2001::BIGINT AS fee, 360::BIGINT AS gst, 97689::BIGINT AS net_paise")
+@query("""WITH g AS (SELECT o_orderkey, cast(round(o_totalprice * 100) AS BIGINT) AS gross_paise FROM orders), f AS (SELECT *, cast(round(gross_paise::DECIMAL(20,4) * 2 / 100, 0) AS BIGINT) AS fee FROM g), t AS (SELECT *, cast(round(fee::DECIMAL(20,4) * 18 / 100, 0) AS BIGINT) AS gst FROM f)
+ SELECT o_orderkey, gross_paise, fee, gst, gross_paise - fee - gst AS net_paise FROM t""")
 def rule_preview(spark, sf_dir):
+    """What the first starter rule would take from every order, line by line."""
     rule = rules.STARTER[0]
-    rows = spark.range(1).select(F.lit(100_050).cast("bigint").alias("gross_paise"))
-    return rows.select("gross_paise", *[v.alias(k) for k, v in rule.lines(F.col("gross_paise")).items()], (F.col("gross_paise") - rule.total(F.col("gross_paise"))).alias("net_paise"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("gross_paise"))
+    return rows.select("o_orderkey", "gross_paise", *[v.alias(k) for k, v in rule.lines(F.col("gross_paise")).items()], (F.col("gross_paise") - rule.total(F.col("gross_paise"))).alias("net_paise"))
 
 
 @query(CTES.replace("WITH ", RULES + ", ", 1) + """ SELECT event_id, n_rules, rule_id FROM (SELECT g.event_id, r.rule_id, count(*) OVER (PARTITION BY g.event_id) AS n_rules, row_number() OVER (PARTITION BY g.event_id ORDER BY r.priority DESC, r.amount_min DESC, r.rule_id) AS k
@@ -327,7 +329,7 @@ def extended_groups(spark, sf_dir):
                                         F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("members"))
 
 
-@query(CTES + """, p AS (SELECT b.event_id AS bank_id, l.event_id AS ledger_id, l.utr, b.utr AS cut, abs(b.txn_date - l.txn_date)::INT AS days FROM bank b JOIN ledger l ON abs(b.txn_date - l.txn_date) BETWEEN 1 AND 3
+@query(CTES + """, p AS (SELECT b.event_id AS bank_id, l.event_id AS ledger_id, l.utr, b.utr AS cut, abs(b.txn_date - l.txn_date)::INT AS days FROM (SELECT *, unnest([-3, -2, -1, 1, 2, 3]) AS k FROM bank) b JOIN ledger l ON l.txn_date = b.txn_date + b.k AND length(l.utr) <> length(b.utr)
  AND abs(b.amount_paise - l.amount_paise) <= greatest(100, cast(floor(abs(b.amount_paise) * 0.0005::DECIMAL(10,8)) AS BIGINT), 1) AND length(b.utr) >= 6 AND length(l.utr) >= 6 AND l.utr <> b.utr AND (starts_with(l.utr, b.utr) OR starts_with(b.utr, l.utr)))
  SELECT bank_id, ledger_id, days FROM p WHERE bank_id IN (SELECT bank_id FROM p GROUP BY 1 HAVING count(*) = 1) AND ledger_id IN (SELECT ledger_id FROM p GROUP BY 1 HAVING count(*) = 1)""")
 def date_shift_pairs(spark, sf_dir):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trisettle.operators import evaluate, settlements
+from trisettle.operators import audit, evaluate, settlements
+from trisettle.operators.shared import settled
 from trisettle.plans.matching import SUMS
 from trisettle.sources.harness import CTES, derived, events, source
 from trisettle.streaming import windows
@@ -71,12 +72,19 @@ def settlement_register(spark, sf_dir):
     return rows.select("settlement_id", "expected_net_paise", "bank_paise", "ledger_paise", "ledger_rows", state.alias("state"))
 
 
-@query("""WITH a AS (SELECT event_id AS seq, user_id, sha256(concat_ws('|', event_id::VARCHAR, user_id::VARCHAR, event_type)) AS honest FROM events WHERE event_id % 50 <> 7), b AS (SELECT *, CASE WHEN seq % 997 = 5 THEN 'x' ELSE honest END AS this_hash FROM a)
- SELECT user_id, min(seq) AS first_bad FROM b WHERE this_hash <> honest GROUP BY user_id""")
+@query("""WITH t AS (SELECT user_id, event_id, lag(event_id) OVER w AS before, lead(event_id) OVER w AS behind FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+ s AS (SELECT user_id, event_id, before, event_id % 997 = 5 AS edited, CASE WHEN event_id % 983 = 11 AND before IS NOT NULL THEN before WHEN behind % 983 = 11 THEN behind ELSE event_id END AS seq FROM t),
+ l AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY seq, event_id) AS stands_after FROM s WHERE event_id % 991 <> 7)
+ SELECT user_id, min(seq) AS first_bad FROM l WHERE edited OR stands_after IS DISTINCT FROM before GROUP BY user_id""")
 def chain_breaks(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 50 <> 7").select(F.col("event_id").alias("seq"), "user_id", F.concat_ws("|", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type").alias("payload"))
-    rows = rows.withColumn("this_hash", F.when(F.col("seq") % 997 == 5, "x").otherwise(F.sha2("payload", 256)))
-    return rows.filter(F.col("this_hash") != F.sha2("payload", 256)).groupBy("user_id").agg(F.min("seq").alias("first_bad"))
+    """All events chained by user, then some edited, some taken out and some put before their predecessor."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.lag("event_id").over(order).alias("before"), F.lead("event_id").over(order).alias("behind"))
+    chained = settled(audit.append(rows.select(F.col("user_id").cast("string").alias("tenant"), F.col("event_id").alias("seq"), F.concat_ws("|", F.col("event_id").cast("string"), "event_type").alias("payload"))), "events-chained")
+    log = chained.join(rows.select(F.col("event_id").alias("seq"), "user_id", "before", "behind"), "seq").filter("seq % 991 <> 7")
+    log = log.withColumn("payload", F.when(F.col("seq") % 997 == 5, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")))
+    moved = F.when((F.col("seq") % 983 == 11) & F.col("before").isNotNull(), F.col("before")).when(F.col("behind") % 983 == 11, F.col("behind")).otherwise(F.col("seq"))
+    return audit.verify(log.withColumn("seq", moved)).select(F.col("tenant").cast("long").alias("user_id"), "first_bad")
 
 
 @query("""SELECT user_id, seq, before FROM (SELECT user_id, seq, lag(seq) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, event_id FROM events) WHERE event_id % 50 <> 7) WHERE seq <> before + 1""")
