@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trisettle.config import DEFAULT
 from trisettle.functions import text
-from trisettle.operators import cascade, classify, evaluate, learner, legs, paging, references, replay, rules
+from trisettle.operators import bridge, cascade, classify, evaluate, learner, legs, paging, references, replay, rules
 from trisettle.operators.shared import settled
 from trisettle.sources import corpus
 
@@ -264,3 +264,27 @@ def scoped_rules(spark, sf_dir):
     """Every row with the rules of a book whose clauses it meets, and the first by priority, clauses and version."""
     cases = corpus.rows(spark, sf_dir).withColumnsRenamed({"amount_paise": "gross_paise", "txn_date": "on_date"})
     return rules.first_rule(cases, BOOK).select("event_id", "n_rules", "rule")
+
+
+@query(LEGS + """, rest AS (SELECT * FROM corpus WHERE event_id NOT IN (SELECT event_id FROM member)), opp AS (SELECT r.event_id FROM rest r JOIN corpus o ON o.amount_paise = r.amount_paise AND ((r.source = 'bank' AND o.source = 'gateway') OR (r.source = 'gateway' AND o.source = 'bank')) AND abs(o.txn_date - r.txn_date) > 3),
+ found AS (SELECT category, amount::BIGINT AS amount FROM refused UNION ALL SELECT CASE WHEN r.source = 'bank' AND r.narration LIKE 'NACH%' THEN 'nach_batch_unexploded' WHEN r.source = 'gateway' AND r.txn_type = 'refund' THEN 'partial_refund' WHEN r.event_id IN (SELECT event_id FROM opp) THEN 'timing_lag'
+  WHEN r.source = 'bank' AND length(r.utr) < 16 THEN 'reference_truncated' WHEN r.source = 'gateway' THEN 'missing_in_bank' WHEN r.source = 'bank' AND upper(r.counterparty) LIKE '%GATEWAY%' THEN 'missing_in_gateway' WHEN r.source = 'bank' AND r.direction = 'credit' THEN 'unidentified_inflow'
+  WHEN r.source = 'bank' THEN 'unbooked_bank_entry' ELSE 'missing_in_bank' END, r.amount_paise FROM rest r),
+ pay AS (SELECT *, coalesce(fee_paise, 0) AS fee, coalesce(tax_raw, 0) // 118 AS tax FROM gateway WHERE txn_type = 'payment'),
+ seg AS (SELECT 'held' AS line, amount_paise + fee AS amount FROM pay WHERE on_hold UNION ALL SELECT 'gross', amount_paise + fee FROM pay WHERE NOT on_hold UNION ALL SELECT 'mdr', fee - tax FROM pay WHERE NOT on_hold UNION ALL SELECT 'gst', tax FROM pay WHERE NOT on_hold
+  UNION ALL SELECT CASE txn_type WHEN 'refund' THEN 'refunds' WHEN 'dispute' THEN 'chargebacks' ELSE txn_type END, amount_paise FROM gateway WHERE txn_type <> 'payment'
+  UNION ALL SELECT 'bank', CASE WHEN direction = 'credit' THEN amount_paise ELSE -amount_paise END FROM member WHERE source = 'bank' AND match_id IN (SELECT match_id FROM member WHERE source = 'gateway')),
+ sums AS (SELECT line, count(*) AS n_rows, sum(amount)::BIGINT AS amount_paise FROM seg GROUP BY line), tot AS (SELECT sum(CASE line WHEN 'gross' THEN amount_paise WHEN 'held' THEN 0 WHEN 'bank' THEN 0 ELSE -amount_paise END)::BIGINT AS expected, sum(n_rows) FILTER (line NOT IN ('held', 'bank'))::BIGINT AS n, coalesce(sum(amount_paise) FILTER (line = 'bank'), 0)::BIGINT AS bank FROM sums),
+ o AS (SELECT unnest(['timing_lag', 'missing_in_bank', 'amount_variance', 'reference_truncated', 'ambiguous_multi_candidate', 'missing_in_gateway', 'partial_refund']) AS category, unnest(range(7)) AS k), wr AS (SELECT k, category, count(*) AS n_rows, sum(amount) AS worth FROM found JOIN o USING (category) GROUP BY 1, 2),
+ sh AS (SELECT category, n_rows, least(worth, greatest(expected - bank - coalesce(sum(worth) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0))::BIGINT AS share FROM wr, tot)
+ SELECT line, n_rows, amount_paise FROM sums UNION ALL SELECT 'expected', n, expected FROM tot UNION ALL SELECT 'rest', n, expected - bank FROM tot UNION ALL SELECT 'explained by ' || category, n_rows, share FROM sh UNION ALL SELECT 'unexplained', 0, expected - bank - coalesce((SELECT sum(share) FROM sh), 0)::BIGINT FROM tot""")
+def bridge_lines(spark, sf_dir):
+    """The cash bridge of the corpus after the exact stage: segments, what the bank should have credited and did, and
+    which findings explain the rest."""
+    events = corpus.rows(spark, sf_dir)
+    members = exact_members(events)
+    left = events.join(members.select("event_id"), "event_id", "left_anti")
+    _, refused = legs.resolve(members, events, left.filter("source = 'ledger'"))
+    one = refused.groupBy(F.col("refusal_id").alias("finding")).agg(F.min("category").alias("category"), F.min("amount_paise").alias("amount_paise"))
+    loose = classify.unmatched(left, events).select(F.col("event_id").alias("finding"), "category", "amount_paise")
+    return bridge.bridge(events, members, settled(one.unionByName(loose), "bridge-findings"))
