@@ -63,9 +63,9 @@ def near_references(spark, sf_dir):
 def settlement_register(spark, sf_dir):
     from trisettle.operators.settlements import arithmetic, named
 
-    gateway = source(spark, sf_dir, "gateway")
-    bank = named(source(spark, sf_dir, "bank"), gateway).select("settlement_id", F.col("amount_paise").alias("bank_paise"))
-    books = named(source(spark, sf_dir, "ledger"), gateway).groupBy("settlement_id").agg(F.sum("amount_paise").alias("ledger_paise"), F.count("*").alias("ledger_rows"))
+    gateway, credits, ledger = derived(spark, sf_dir)
+    bank = named(credits, gateway).select("settlement_id", F.col("amount_paise").alias("bank_paise"))
+    books = named(ledger, gateway).groupBy("settlement_id").agg(F.sum("amount_paise").alias("ledger_paise"), F.count("*").alias("ledger_rows"))
     state = (F.when(F.col("bank_paise").isNull(), "missing in bank").when(F.col("ledger_paise").isNull(), "missing in books").when(F.col("ledger_rows") > 1, "booked twice")
              .when(F.abs(F.col("bank_paise") - F.col("expected_net_paise")) <= 100, "settled").otherwise("differs"))
     rows = arithmetic(gateway).join(bank, "settlement_id", "left").join(books, "settlement_id", "left")
