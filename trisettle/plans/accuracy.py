@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trisettle.config import DEFAULT
 from trisettle.functions import text
-from trisettle.operators import bridge, cascade, classify, evaluate, learner, legs, paging, references, replay, rules
+from trisettle.operators import advise, bridge, cascade, classify, evaluate, learner, legs, paging, references, replay, rules
 from trisettle.operators.shared import settled
 from trisettle.sources import corpus
 
@@ -288,3 +288,27 @@ def bridge_lines(spark, sf_dir):
     one = refused.groupBy(F.col("refusal_id").alias("finding")).agg(F.min("category").alias("category"), F.min("amount_paise").alias("amount_paise"))
     loose = classify.unmatched(left, events).select(F.col("event_id").alias("finding"), "category", "amount_paise")
     return bridge.bridge(events, members, settled(one.unionByName(loose), "bridge-findings"))
+
+
+def _inr(p: str) -> str:
+    w = f"({p} // 100)::VARCHAR"
+    return f"""'₹' || CASE WHEN length({w}) > 3 THEN (CASE WHEN (length({w}) - 3) % 2 = 1 THEN ({w})[1] || CASE WHEN length({w}) > 4 THEN ',' ELSE '' END ELSE '' END) || array_to_string(list_transform(range(1 + (length({w}) - 3) % 2, length({w}) - 3, 2), lambda i: substr({w}, i, 2)), ',') || ',' || right({w}, 3) ELSE {w} END || '.' || lpad(({p} % 100)::VARCHAR, 2, '0')"""
+
+
+@query(FOUND.replace("{pct}", "0.0005").removesuffix(" SELECT * FROM f") + f""", all_ev AS (SELECT e.match_id || e.category AS finding, e.category, e.event_id, r.amount::BIGINT AS amount FROM ev e JOIN refused r ON r.match_id = e.match_id AND r.category = e.category
+  UNION ALL SELECT event_id, 'chargeback_unrecorded', event_id, amount_paise FROM gateway WHERE txn_type = 'dispute' UNION ALL SELECT event_id, 'nach_batch_unexploded', event_id, amount_paise FROM bank WHERE narration LIKE 'NACH%' UNION ALL SELECT event_id, 'reference_truncated', event_id, amount_paise FROM bank WHERE length(utr) < 16),
+ g AS (SELECT finding, category, min(amount) AS amount, arg_min(c.txn_date, c.event_id) AS day, min(c.event_id) AS first_id, count(*) FILTER (c.source = 'ledger') AS n_ledger, min(c.event_id) FILTER (c.source = 'ledger') AS keep, max(c.event_id) FILTER (c.source = 'ledger') AS rev, arg_max(c.txn_date, c.event_id) FILTER (c.source = 'ledger') AS rev_day,
+  arg_max(c.txn_date, (abs(c.amount_paise), c.event_id)) AS large_day, min(c.order_id) AS ord FROM all_ev a JOIN corpus c USING (event_id) GROUP BY 1, 2), p AS (SELECT *, {_inr('amount')} AS money FROM g)
+ SELECT first_id, category, CASE category WHEN 'duplicate_ledger_entry' THEN CASE WHEN n_ledger = 2 THEN 'Reverse ' || rev || ' of ' || rev_day || ': it books ' || money || ' a second time after ' || keep || '.' ELSE 'Find out which of ' || n_ledger || ' rows books ' || money || '; the others are to be reversed.' END
+  WHEN 'chargeback_unrecorded' THEN 'Book the chargeback of ' || money || ' for ' || coalesce(ord, 'its order') || ' (' || first_id || ') and contest it by ' || (day + 30) || '.' WHEN 'missing_in_ledger' THEN 'Book a receipt of ' || money || ' on ' || large_day || ': gateway and bank agree on it.'
+  WHEN 'nach_batch_unexploded' THEN 'Book the mandate batch of ' || money || ' on ' || day || ' as one sum; the statement does not name its mandates.' WHEN 'ambiguous_multi_candidate' THEN 'Say which candidate ' || money || ' of ' || day || ' belongs to before either side closes.'
+  WHEN 'reference_truncated' THEN 'Compare ' || money || ' of ' || day || ' by hand; the bank cut its reference.' WHEN 'amount_variance' THEN 'Check the difference of ' || money || '; no rule explains all of it.' END AS advice FROM p""")
+def finding_advice(spark, sf_dir):
+    """What to do about the exact stage's group findings, chargebacks, mandate batches and cut references."""
+    events = corpus.rows(spark, sf_dir)
+    members = exact_members(events)
+    refused = legs.resolve(members, events, events.filter("source = 'ledger'").join(members.select("event_id"), "event_id", "left_anti"))[1]
+    single = lambda when, category: events.filter(when).select(F.col("event_id").alias("finding"), "event_id", F.lit(category).alias("category"), "amount_paise")
+    found = (refused.select(F.col("refusal_id").alias("finding"), "event_id", "category", "amount_paise").unionByName(single("txn_type = 'dispute'", "chargeback_unrecorded"))
+             .unionByName(single("source = 'bank' and narration like 'NACH%'", "nach_batch_unexploded")).unionByName(single("source = 'bank' and length(utr) < 16", "reference_truncated")))
+    return advise.facts(found, events).select(F.col("first.event_id").alias("first_id"), "category", advise.advice().alias("advice"))
