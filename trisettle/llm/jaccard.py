@@ -311,26 +311,32 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", size:
     order = F.struct(F.col(key).isNull(), F.col(key), F.col("_row"))
     first = keyed.select("_row", order.alias("order")).distinct().join(groups, "_row").groupBy("group").agg(F.min(F.struct("order", "_row", "n")).alias("first"))
     kept = written(first.select("first._row", "first.n"), "kept-rows")
-    # most rows stay: a bitmap of those that may not spares the others a join, which would shuffle their texts
+    # most rows stay and the rest mostly goes, and texts must not be shuffled to tell which: rows whose bit is not set in
+    # a bitmap of those that may go stay; of the others, those not in a bitmap of kept rows with such a bit go. Only
+    # what hits both, kept rows by chance and repeated ones, is joined
     doubtful = groups.join(kept.filter("n = 1").select("_row"), "_row", "left_anti").select("_row")
-    keyed = keyed.withColumn("_word", word_of("_row")).join(F.broadcast(bitmap(doubtful, "_row")), "_word", "left")
-    may_go = F.coalesce(F.getbit("_bits", bit_of("_row")), F.lit(0)) == 1
-    rest = keyed.filter(may_go)
+    may_go = bitmap(doubtful, F.col("_row"))
+    other_key = F.xxhash64("_row")
+    may_stay = bitmap(looked_up(kept, may_go, F.col("_row")).filter("_hit").select("_row"), other_key)
+    first_look = looked_up(keyed, may_go, F.col("_row"))
+    rest = looked_up(first_look.filter("_hit").drop("_hit"), may_stay, other_key).filter("_hit").drop("_hit")
     single = rest.join(kept.filter("n = 1").select("_row"), "_row", "left_semi")
     repeated = rest.join(kept.filter("n > 1").select("_row"), "_row", "left_semi").dropDuplicates(["_row"])
-    return keyed.filter(~may_go).unionByName(single).unionByName(repeated).select(*docs.columns)
+    return first_look.filter("not _hit").drop("_hit").unionByName(single).unionByName(repeated).select(*docs.columns)
 
 
-def word_of(key: str) -> Column:
-    return F.floor(F.pmod(F.col(key), F.lit(ROW_BITS)) / 64).cast("int")
+def bitmap(rows: DataFrame, key: Column) -> DataFrame:
+    """``_word`` and its ``_bits``: each row sets one of ``ROW_BITS`` bits by its 64-bit key, so the table has at most
+    ``ROW_BITS`` / 64 rows whatever it is made of."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(key, F.lit(64)).cast("int"))
+    return written(rows.select(word_of(key).alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits")), "row-bitmap")
 
 
-def bit_of(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(64)).cast("int")
+def looked_up(rows: DataFrame, bits: DataFrame, key: Column) -> DataFrame:
+    """``rows`` with ``_hit``: whether the bit of their key is set, which it is for every row that set it."""
+    found = rows.withColumn("_word", word_of(key)).join(F.broadcast(bits), "_word", "left")
+    return found.withColumn("_hit", F.coalesce(F.getbit("_bits", F.pmod(key, F.lit(64)).cast("int")), F.lit(0)) == 1).drop("_word", "_bits")
 
 
-def bitmap(rows: DataFrame, key: str) -> DataFrame:
-    """``_word`` and its ``_bits``: each row sets one of ``ROW_BITS`` bits by its 64-bit key, so the table has at most
-    ``ROW_BITS`` / 64 rows whatever it is made of."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), bit_of(key))
-    return written(rows.select(word_of(key).alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits")), "row-bitmap")
+def word_of(key: Column) -> Column:
+    return F.floor(F.pmod(key, F.lit(ROW_BITS)) / 64).cast("int")
