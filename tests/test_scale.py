@@ -44,3 +44,25 @@ def test_exact_stage_parts_all_rows(spark):
     whole = shared.components(references.trusted_references(events).select(F.col("event_id").alias("node"), F.xxhash64("field", "value", "side").alias("key")))
     assert {(r.event_id, r.match_id) for r in members.collect()} == {(r.node, r.root) for r in whole.collect()}
     assert [r.event_id for r in left.collect()] == ["z1"]
+
+
+def test_reconcile_counts_without_listing(spark, monkeypatch):
+    """Credits without a whole reference are counted over amounts; the pairs with all settlements are never listed."""
+    import datetime
+    import random
+
+    from trisettle.operators import settlements
+
+    rng = random.Random(5)
+    day = lambda: datetime.date(2024, 1, 1) + datetime.timedelta(days=rng.randrange(12))
+    amount = lambda: rng.choice([40, 150_000, 150_090, 150_200, 900_000, rng.randrange(1, 2_000_000)])
+    sums = spark.createDataFrame([(f"S{k}", amount(), rng.randrange(1, 4), day(), [f"UTR{k % 50:013d}"]) for k in range(120)], "settlement_id string, expected_net_paise long, n_txns long, first_date date, utrs array<string>")
+    bank = spark.createDataFrame([(f"b{k}", amount(), "credit" if k % 9 else "debit", day(), rng.choice([None, "UTR00", f"UTR{k % 60:013d}"])) for k in range(300)], "event_id string, amount_paise long, direction string, txn_date date, utr string")
+    for days in (None, 0, 3):
+        listed = {tuple(r) for r in settlements.reconciled(settlements.candidates(bank, sums, window_days=days)).collect()}
+        monkeypatch.setattr(settlements, "candidates", None)
+        assert {tuple(r) for r in settlements.reconcile(bank, sums, window_days=days).collect()} == listed
+        monkeypatch.undo()
+        assert len({r[1] for r in listed}) > 1 and any(r[2] for r in listed)
+    empty = settlements.reconcile(bank.limit(0), sums.limit(0))
+    assert empty.count() == 0

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trisettle.functions.scoring import tolerance_terms
 from trisettle.operators import references, settlements
+from trisettle.operators.shared import settled
 from trisettle.sources.harness import CTES, derived, events, source
 
 QUERIES = {}
@@ -82,14 +83,20 @@ RESULT = """ SELECT credit_id, count(*) AS n_candidates, CASE WHEN count(*) = 1
  FROM cand {where} GROUP BY credit_id"""
 
 
+def credits_and_sums(spark, sf_dir):
+    """Bank rows, written as they are read twice, and the arithmetic of settlements."""
+    gateway, bank, _ = derived(spark, sf_dir)
+    return settled(bank.select("event_id", "amount_paise", "direction", "txn_date", "utr"), "bank"), settlements.arithmetic(gateway)
+
+
 @query(CTES + SUMS + PAIRS + RESULT.format(where=""))
 def settlement_vs_bank(spark, sf_dir):
-    return settlements.reconciled(settlements.candidates(source(spark, sf_dir, "bank"), settlements.arithmetic(source(spark, sf_dir, "gateway"))))
+    return settlements.reconcile(*credits_and_sums(spark, sf_dir))
 
 
 @query(CTES + SUMS + PAIRS + RESULT.format(where="WHERE bd - fd BETWEEN -3 AND 3"))
 def settlement_vs_bank_windowed(spark, sf_dir):
-    return settlements.reconciled(settlements.candidates(source(spark, sf_dir, "bank"), settlements.arithmetic(source(spark, sf_dir, "gateway")), window_days=3))
+    return settlements.reconcile(*credits_and_sums(spark, sf_dir), window_days=3)
 
 
 @query(CTES + SUMS + PAIRS + """, r AS (SELECT credit_id, min(settlement_id) AS settlement_id FROM cand WHERE bd - fd BETWEEN -3 AND 3 GROUP BY credit_id HAVING count(*) = 1)

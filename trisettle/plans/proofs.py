@@ -98,7 +98,7 @@ def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     charged = classify.shaped(classify.unrecorded_chargebacks(disputes, books), "event_id", "chargeback_unrecorded", "amount_paise", "amount_paise", "1")
     unnamed = classify.ambiguous_attribution(gateway.select(F.col("settlement_id").alias("match_id"), "event_id", "order_id", (F.col("amount_paise") + F.coalesce("fee_paise", F.lit(0))).alias("gross_paise")))
     open_orders = classify.shaped(unnamed, F.concat_ws("|", "match_id", F.col("gross_paise").cast("string")), "ambiguous_multi_candidate", "gross_paise", "gross_paise", "1")
-    several = settlements.reconciled(settlements.candidates(bank, sums)).filter("n_candidates > 1").select(F.col("credit_id").alias("event_id"))
+    several = settlements.reconcile(bank, sums).filter("n_candidates > 1").select(F.col("credit_id").alias("event_id"))
     refused = bank.join(several, "event_id").select(F.col("event_id").alias("refusal_id"), "event_id", F.lit("ambiguous_multi_candidate").alias("category"), "amount_paise", F.lit(None).cast("double").alias("member_confidence"))
     book = rules.STARTER[:3]
     gaps = rules.apply_rules(queue.cases(spark, sf_dir).filter("gap_paise > 0").withColumn("considered", rules.considered(book)), book)
