@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,3 +94,16 @@ def linked(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def first_of(rows: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:
     """The first ``k`` rows of each group."""
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= k).drop("_rank")
+
+
+def smallest(rows: DataFrame, columns: list[str], k: int) -> DataFrame:
+    """kind, value: the ``k`` smallest different values of each column, the smallest, then the smallest above it, and so
+    on. Minima of whole columns only, so nothing is sorted or made distinct and one row is broadcast. ``rows`` are read
+    ``k`` times and should be a written table."""
+    low = rows.agg(*[F.min(c).alias(c) for c in columns])
+    found = [low]
+    for _ in range(k - 1):
+        above = rows.join(F.broadcast(low.select(*[F.col(c).alias(f"_{c}") for c in columns])))
+        low = above.agg(*[F.min(F.when(F.col(c) > F.col(f"_{c}"), F.col(c))).alias(c) for c in columns])
+        found.append(low)
+    return reduce(DataFrame.unionByName, found).unpivot([], columns, "kind", "value").filter("value is not null")

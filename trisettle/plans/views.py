@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from trisettle.operators import audit, evaluate, settlements
+from trisettle.operators import audit, evaluate, exceptions, settlements
 from trisettle.operators.shared import settled
 from trisettle.plans.matching import SUMS
 from trisettle.sources.harness import CTES, derived, events, source
@@ -53,8 +53,9 @@ def event_list(spark, sf_dir):
 @query(CTES + """, k AS (SELECT 'utr' AS kind, utr AS value FROM ev UNION SELECT 'settlement_id', settlement_id FROM ev UNION SELECT 'order_id', order_id FROM ev)
  SELECT kind, value FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY value) AS r FROM k WHERE value LIKE '%12%') WHERE r <= 3""")
 def near_references(spark, sf_dir):
-    rows = events(spark, sf_dir).unpivot("event_id", ["utr", "settlement_id", "order_id"], "kind", "value").select("kind", "value").filter("value like '%12%'").distinct()
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("kind").orderBy("value"))).filter("r <= 3").select("kind", "value")
+    names = ["utr", "settlement_id", "order_id"]
+    rows = events(spark, sf_dir).select(*[F.when(F.col(c).like("%12%"), F.col(c)).alias(c) for c in names]).dropna("all")
+    return exceptions.smallest(settled(rows, "reference-values"), names, 3)
 
 
 @query(CTES + SUMS + """ SELECT a.settlement_id, a.expected_net_paise, b.amount_paise AS bank_paise, l.booked AS ledger_paise, l.n AS ledger_rows,
