@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trisettle.functions import scoring
 from trisettle.operators import exceptions, rules, settlements
-from trisettle.operators.shared import settled
+from trisettle.operators.shared import dealt, settled, tasks_for
 from trisettle.plans.matching import SUMS, TOL
 from trisettle.sources.harness import CTES, derived, source
 
@@ -202,9 +202,11 @@ def cash_bridge(spark, sf_dir):
  SELECT CASE WHEN nb THEN 'only in books' WHEN nl THEN 'only in bank' WHEN bank = books THEN 'agreed' WHEN books >= 2 * bank - 100 THEN 'booked twice' ELSE 'different amount' END AS bucket, count(*) AS n, sum(books - bank)::BIGINT AS difference_paise FROM x GROUP BY 1""")
 def books_against_bank(spark, sf_dir):
     gateway, bank, ledger = derived(spark, sf_dir)
+    tasks = tasks_for(gateway)
     own = F.coalesce("settlement_id", "event_id").alias("own")  # a row that names no settlement stands alone
-    books = settlements.named(ledger, gateway).groupBy(own).agg(F.sum("amount_paise").alias("books"))
-    rows = settlements.named(bank, gateway).select(own, F.col("amount_paise").alias("bank")).join(books, "own", "full_outer")
+    of = lambda rows, amount: dealt(settlements.named(rows, gateway, tasks).select(own, F.col("amount_paise").alias(amount)), tasks, "own")
+    books = of(ledger, "books").groupBy("own").agg(F.sum("books").alias("books"))
+    rows = of(bank, "bank").join(books, "own", "full_outer")
     bank, book = F.coalesce("bank", F.lit(0)), F.coalesce("books", F.lit(0))
     bucket = F.when(F.col("bank").isNull(), "only in books").when(F.col("books").isNull(), "only in bank").when(bank == book, "agreed").when(book >= 2 * bank - 100, "booked twice").otherwise("different amount")
     return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(book - bank).cast("bigint").alias("difference_paise"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trisettle.functions.scoring import tolerance
 from trisettle.operators import exceptions, rules, settlements
-from trisettle.operators.shared import settled
+from trisettle.operators.shared import dealt, settled, tasks_for
 from trisettle.plans.matching import SUMS, TOL
 from trisettle.plans.queue import QUEUE, TODAY, queue
 from trisettle.sources.harness import CTES, derived, events, source
@@ -43,23 +43,31 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_of(gateway: DataFrame, bank: DataFrame, ledger: DataFrame) -> DataFrame:
-    return settlements.named(bank.unionByName(ledger), gateway.select("utr", "settlement_id").distinct()).filter("settlement_id is not null").select(*NAMED)
+    """``gateway`` should be a written table."""
+    return settlements.named(bank.unionByName(ledger), gateway.select("utr", "settlement_id"), tasks_for(gateway)).filter("settlement_id is not null").select(*NAMED)
 
 
 def matches(rows: DataFrame, gateway: DataFrame) -> DataFrame:
-    """Each bank credit with the settlement that it names: stage, difference and confidence in percent."""
+    """Each bank credit with the settlement that it names: stage, difference and confidence in percent. ``gateway`` should
+    be a written table."""
+    tasks = tasks_for(gateway)
     delta = F.col("amount_paise") - F.col("expected_net_paise")
     confidence = F.when(delta == 0, 100).when(F.abs(delta) <= tolerance(F.col("expected_net_paise"), F.col("n_txns")), 97).otherwise(70)
     stage = F.when(F.length("utr") >= 16, "exact_ref").otherwise("many_to_one")
-    return rows.filter("source = 'bank'").join(settlements.arithmetic(gateway), "settlement_id").select(
+    return dealt(rows.filter("source = 'bank'"), tasks, "settlement_id").join(settlements.arithmetic(dealt(gateway, tasks, "settlement_id")), "settlement_id").select(
         F.concat(F.lit("m"), "settlement_id").alias("match_id"), "settlement_id", stage.alias("stage"), delta.alias("delta_paise"), confidence.alias("confidence_pct"))
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Written once: the named rows and the matches."""
+    return with_gateway(spark, sf_dir)[1:]
+
+
+def with_gateway(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``both``, and before them the gateway's rows that they come from."""
     gateway, bank, ledger = derived(spark, sf_dir)
     rows = settled(named_of(gateway, bank, ledger), "named-rows")
-    return rows, settled(matches(rows, gateway), "matches")
+    return gateway, rows, settled(matches(rows, gateway), "matches")
 
 
 def rulebook(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,9 +160,11 @@ def newest_runs(spark, sf_dir):
  SELECT b.settlement_id, len(list_intersect(regexp_extract_all(b.narration, 'S[0-9]+|UTR[0-9]{13}'), regexp_extract_all(l.narration, 'S[0-9]+|UTR[0-9]{13}')))::INT AS n_shared FROM named b JOIN l USING (settlement_id) WHERE b.source = 'bank'""")
 def shared_references(spark, sf_dir):
     rows = settled(named(spark, sf_dir), "named-rows")
+    tasks = tasks_for(rows)
     said = lambda c: F.regexp_extract_all(c, F.lit("S[0-9]+|UTR[0-9]{13}"), F.lit(0))
-    books = rows.filter("source = 'ledger'").groupBy("settlement_id").agg(F.min("narration").alias("booked"))
-    return rows.filter("source = 'bank'").join(books, "settlement_id").select("settlement_id", F.size(F.array_intersect(said("narration"), said("booked"))).alias("n_shared"))
+    of = lambda source: dealt(rows.filter(F.col("source") == source).select("settlement_id", "narration"), tasks, "settlement_id")
+    books = of("ledger").groupBy("settlement_id").agg(F.min("narration").alias("booked"))
+    return of("bank").join(books, "settlement_id").select("settlement_id", F.size(F.array_intersect(said("narration"), said("booked"))).alias("n_shared"))
 
 
 @query(CTES + SUMS + """ SELECT l.event_id, a.settlement_id, a.gross_paise - l.amount_paise AS gap_paise, abs(a.gross_paise - l.amount_paise - a.fee_paise) <= 100 AS by_fee,
@@ -320,13 +330,16 @@ def dated_rows(spark, sf_dir):
  string_agg(n.event_id, ',' ORDER BY n.event_id) AS members FROM m JOIN named n USING (settlement_id) JOIN arith a USING (settlement_id) GROUP BY m.match_id""")
 def extended_groups(spark, sf_dir):
     """A match extended by its ledger legs: the least confidence, the sum of residuals, all members in order."""
-    rows, found = both(spark, sf_dir)
-    sums = settlements.arithmetic(source(spark, sf_dir, "gateway")).select("settlement_id", "expected_net_paise")
-    legs = found.join(rows.select("settlement_id", "event_id", "source", "amount_paise"), "settlement_id").join(sums, "settlement_id")
+    gateway, rows, found = with_gateway(spark, sf_dir)
+    tasks = tasks_for(gateway)
+    of = lambda table: dealt(table, tasks, "settlement_id")
+    sums = settlements.arithmetic(of(gateway)).select("settlement_id", "expected_net_paise")
+    legs = of(found).join(of(rows.select("settlement_id", "event_id", "source", "amount_paise")), "settlement_id").join(sums, "settlement_id")
     booked = F.col("source") == "ledger"
     more = F.coalesce(F.sum(F.when(booked, F.abs(F.col("amount_paise") - F.col("expected_net_paise")))), F.lit(0))
-    return legs.groupBy("match_id").agg(F.min(F.least(F.col("confidence_pct"), F.when(booked, 99).otherwise(100))).alias("confidence_pct"), (F.max(F.abs("delta_paise")) + more).alias("residual_paise"),
-                                        F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("members"))
+    # a match is one settlement's, so its rows are together already
+    return legs.groupBy("settlement_id", "match_id").agg(F.min(F.least(F.col("confidence_pct"), F.when(booked, 99).otherwise(100))).alias("confidence_pct"), (F.max(F.abs("delta_paise")) + more).alias("residual_paise"),
+                                        F.array_join(F.array_sort(F.collect_list("event_id")), ",").alias("members")).drop("settlement_id")
 
 
 @query(CTES + """, p AS (SELECT b.event_id AS bank_id, l.event_id AS ledger_id, l.utr, b.utr AS cut, abs(b.txn_date - l.txn_date)::INT AS days FROM (SELECT *, unnest([-3, -2, -1, 1, 2, 3]) AS k FROM bank) b JOIN ledger l ON l.txn_date = b.txn_date + b.k AND length(l.utr) <> length(b.utr)
