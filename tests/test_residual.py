@@ -102,3 +102,20 @@ def test_guard(spark):
                 "SELECT * FROM (WITH other AS (SELECT 1 AS n) SELECT n FROM other) x JOIN other y ON x.n = y.n", "SELECT java_method('java.lang.System', 'lineSeparator')", "SELECT * FROM parquet.`/tmp`", "SELECT * FROM guarded ORDER BY reflect('a', 'b')"):
         with pytest.raises(guard.Refused):
             guard.run(spark, bad, views)
+
+
+def test_subset_search_over_arrays_equals_the_search_sum_by_sum():
+    rnd = random.Random(11)
+    states = set()
+    for t in range(200):
+        n, most = rnd.randint(0, 30), rnd.choice([3, 60, 1_000, 10**7])
+        amounts = [rnd.randint(0, most) for _ in range(n)]
+        target = sum(rnd.sample(amounts, min(n, rnd.randint(0, 4)))) + rnd.randint(-2, 2)
+        got = residual.subset_sum(amounts, target, rnd.choice([0, 1, 100]) if t % 2 else 1)
+        order = sorted(range(n), key=lambda i: (-amounts[i], i))
+        if t % 2 == 0:
+            assert got == residual._subset_sum_of_any(amounts, order, target, 1)
+        states.add(got[0])
+    assert states >= {"found", "ambiguous", "none"}
+    assert residual.subset_sum([1 << 70, 1 << 70, 5], 1 << 71, 0) == ("found", [0, 1])
+    assert residual.subset_sum([1 << k for k in range(70)], 3 << 30, 0) == ("found", [30, 31])
