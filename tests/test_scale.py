@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from trisettle.config import DEFAULT
 from trisettle.functions import similarity
 from trisettle.operators import cascade, exceptions, legs, references, residual, settlements, shared
-from trisettle.plans import queue, records, views
+from trisettle.plans import matching, queue, records, views
 from trisettle.sources import corpus, harness
 from trisettle.sources.harness import events
 
@@ -252,3 +252,19 @@ def test_only_rows_of_groups_without_legs_are_looked_at_again(spark, monkeypatch
     attached, refused = legs.resolve(members, members.drop("match_id"), members.drop("match_id").limit(0))
     assert seen["lacking-rows"].count() == 4 and attached.isEmpty()
     assert {(r.subject, r.event_id, r.category) for r in refused.collect()} == {(f"b{k}", f"{s}{k}", "missing_in_ledger") for k in (0, 1) for s in "gb"}
+
+
+def test_blocked_pairs_take_rows_of_every_source(spark):
+    """Gateway rows were left out of the query and of its SQL."""
+    kinds = {(r.left_source, r.right_source) for r in matching.blocked_pairs(spark, "/root/testdata/sf0.001").select("left_source", "right_source").distinct().collect()}
+    assert kinds == {("bank", "gateway"), ("bank", "ledger"), ("gateway", "ledger")}
+
+
+def test_near_rows_probe_only_the_cells_that_their_window_touches(spark):
+    rows = spark.range(4_000).selectExpr("cast(id as string) event_id", "(id * 7919) % 90000000 amount_paise", "date_add(date'2024-01-01', cast(id % 300 as int)) txn_date")
+    explain = references.near_rows(rows, rows)
+    probes = explain._jdf.queryExecution().optimizedPlan()
+    left = spark.createDataFrame([("a", 250_000, date(2024, 1, 5)), ("n", None, date(2024, 1, 5)), ("m", -150_000, None)], "event_id string, amount_paise long, txn_date date")
+    right = spark.createDataFrame([(f"r{i}-{d}", i * 100_000, date(2024, 1, 5) + timedelta(d)) for i in range(-4, 9) for d in range(-8, 9)], "event_id string, amount_paise long, txn_date date")
+    got = {r.e for r in references.near_rows(left, right).select(F.col("b.event_id").alias("e")).collect()}
+    assert got == {f"r{i}-{d}" for i in range(0, 5) for d in range(-6, 7)} and "sequence" in probes.toString()
