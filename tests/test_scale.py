@@ -268,3 +268,24 @@ def test_near_rows_probe_only_the_cells_that_their_window_touches(spark):
     right = spark.createDataFrame([(f"r{i}-{d}", i * 100_000, date(2024, 1, 5) + timedelta(d)) for i in range(-4, 9) for d in range(-8, 9)], "event_id string, amount_paise long, txn_date date")
     got = {r.e for r in references.near_rows(left, right).select(F.col("b.event_id").alias("e")).collect()}
     assert got == {f"r{i}-{d}" for i in range(0, 5) for d in range(-6, 7)} and "sequence" in probes.toString()
+
+
+def test_cascade_counts_refusals_and_writes_no_exact_row_twice(spark, monkeypatch):
+    """Refusals were counted from the list of all candidates, and every stage wrote all that was claimed before it."""
+    written = {}
+
+    def seen(df, name):
+        written[name] = out = shared.settled(df, name)
+        return out
+
+    monkeypatch.setattr(cascade, "settled", seen)
+    rows = events(spark, "/root/testdata/sf0.001").filter("batch % 10 < 3").drop("batch")
+    credits = rows.filter("source = 'bank' and (utr is null or length(utr) = 16)").withColumn("event_id", F.concat(F.lit("c"), "event_id"))
+    done = cascade.run(shared.settled(rows.unionByName(credits), "rows"))
+    exact = done.members.filter("stage = 'exact_ref'").select("event_id")
+    names = [name for name in written if name.startswith("claimed-")]
+    assert len(names) > 4 and all(written[name].filter("stage <> 'exact_ref'").join(exact, "event_id").isEmpty() for name in names)
+    assert "claimed-exact" not in written and sum(written[name].count() for name in names) < exact.count()
+    want = done.refusals.groupBy("stage", "category").agg(F.count_distinct("refusal_id"), F.count("*"))
+    got = sorted(map(tuple, done.tallies().collect()))
+    assert got == sorted(map(tuple, want.collect())) and any(stage == "fee_adjusted" and n > k > 0 for stage, _, k, n in got)
