@@ -52,3 +52,11 @@ def test_it_adds_up_for_any_rows(spark, seed):
     # every gateway row is in the bridge: what it says moved is what it adds or takes
     signed = sum((e[4] if e[2] == "credit" else -e[4]) for e in events if e[1] == "gateway" and not (e[7] and e[3] == "payment" and e[2] == "credit"))
     assert got["expected"] == signed
+
+
+def test_members_that_have_their_events_columns_are_not_joined(spark):
+    rows = spark.createDataFrame([("b1", "bank", "credit", 700), ("b2", "bank", "debit", 200), ("g1", "gateway", "credit", 700), ("b3", "bank", "credit", 9)], "event_id string, source string, direction string, amount_paise long")
+    members = spark.createDataFrame([("m", "b1"), ("m", "b2"), ("m", "g1"), ("m", "b1"), ("n", "b3")], "match_id string, event_id string")
+    joined = bridge.credited(rows, members)
+    plain = bridge.credited(rows.limit(0), members.join(rows, "event_id"))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, joined.collect())) != []

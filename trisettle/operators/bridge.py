@@ -28,7 +28,9 @@ def detail(gateway: DataFrame) -> DataFrame:
 
 def credited(events: DataFrame, members: DataFrame) -> DataFrame:
     """Bank rows that a match with a gateway row holds, as rows of the segment ``bank``; debits count against it."""
-    rows = members.select("match_id", "event_id").distinct().join(events.select("event_id", "source", "direction", "amount_paise"), "event_id")
+    own = ("event_id", "source", "direction", "amount_paise")
+    # members that have their events' columns (``references.exact_stage``) need no join
+    rows = members.select("match_id", *own).distinct() if set(own) <= set(members.columns) else members.select("match_id", "event_id").distinct().join(events.select(*own), "event_id")
     proven = rows.groupBy("match_id").agg(F.bool_or(F.col("source") == "gateway").alias("gateway")).filter("gateway").select("match_id")
     signed = F.when(F.col("direction") == "credit", F.col("amount_paise")).otherwise(-F.col("amount_paise"))
     return rows.filter("source = 'bank'").join(proven, "match_id").select(F.lit("bank").alias("segment"), "event_id", signed.alias("amount_paise"))
